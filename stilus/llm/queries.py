@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from stilus.llm import canonical, chunking, frequency
+from pyspark.sql import functions as F
+
+from stilus.llm import canonical, chunking, frequency, leakage
 from stilus.session import table
 
 
@@ -31,7 +33,26 @@ def p7_found(spark, folder):
     return p7_terms(spark, folder).where("mark IS NOT NULL").select("field", "term", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_pieces, p7_found, p7_terms)}
+def p8_leaks(spark, folder):
+    return leakage.find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text")
+
+
+def p8_found(spark, folder):
+    return p8_leaks(spark, folder).select("item_id", "doc_id")
+
+
+def p8_items(spark, folder):
+    """Every held-out item with the number of documents that hold it."""
+    counts = p8_leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return table(spark, folder, "benchmark").select("item_id").join(counts, "item_id", "left").fillna(0, ["n_documents"])
+
+
+def p8_clean(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source", "n_chars")
+    return leakage.without_leaks(docs, "doc_id", p8_leaks(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p8_leaks, p8_items, p8_clean, p3_found, p3_canonical, p4_found, p4_pieces, p7_found, p7_terms)}
 
 _TERMS = """WITH r AS (
   SELECT 'tokens' AS field, entry_id AS id, min(tokens) AS a FROM ling_entries WHERE tokens IS NOT NULL GROUP BY entry_id
