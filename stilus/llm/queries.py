@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stilus.llm import canonical, chunking, frequency, leakage
+from stilus.llm import canonical, chunking, frequency, leakage, overlap
 from stilus.session import table
 
 
+def _p1(spark, folder):
+    return overlap.cross_split_classes(table(spark, folder, "aa_texts"), "row_id", "text", F.col("split") == "train")
+
+
+def p1_found(spark, folder):
+    return overlap.linked_ids(*_p1(spark, folder), "row_id_a", "row_id_b")
+
+
+def p1_report(spark, folder):
+    """Per split and source: rows, and rows that recur in the train split."""
+    members, links = _p1(spark, folder)
+    hit = members.where("NOT is_left").join(links.select(F.col("right").alias("class")).distinct(), "class", "left_semi").select(F.col("id").alias("row_id"), F.lit(1).alias("hit"))
+    rows = table(spark, folder, "aa_texts").where("split IS NULL OR split <> 'train'").select("row_id", "split", "source").join(hit, "row_id", "left")
+    return rows.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("hit").alias("n_in_train"))
+
+
 def p3_found(spark, folder):
     return canonical.same_look_pairs(table(spark, folder, "blog_posts"), "post_id", "text", "post_id_a", "post_id_b")
 
@@ -52,7 +68,7 @@ def p8_clean(spark, folder):
     return leakage.without_leaks(docs, "doc_id", p8_leaks(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_leaks, p8_items, p8_clean, p3_found, p3_canonical, p4_found, p4_pieces, p7_found, p7_terms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p8_found, p8_leaks, p8_items, p8_clean, p3_found, p3_canonical, p4_found, p4_pieces, p7_found, p7_terms)}
 
 _TERMS = """WITH r AS (
   SELECT 'tokens' AS field, entry_id AS id, min(tokens) AS a FROM ling_entries WHERE tokens IS NOT NULL GROUP BY entry_id
