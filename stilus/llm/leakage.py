@@ -128,6 +128,34 @@ class Items:
                 shard, starts, size = [], [], 0
         return out + (self._shard(shard, starts) if shard else [])
 
+    def _likely(self, ids: np.ndarray, item: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Which (item, base) can hold a passage where the item's first word would stand at `base`.
+
+        A least passage has up to 55 words and 5 edits, so all its words lie within 5 diagonals of
+        any of its seeds. A word of the item that stands on none of these is an edit; no window of
+        MIN_WORDS or more words with few enough of those, no passage.
+        """
+        shift = (2 * MIN_WORDS - 1) // EDITS_PER_WORD
+        width = max(map(len, self.item))
+        padded = np.full((len(self.item), width), -1, np.int32)
+        for k, x in enumerate(self.item):
+            padded[k, : len(x)] = x
+        room = np.concatenate([np.zeros(width + shift, np.int32), ids, np.zeros(width + shift, np.int32)])
+        near = np.arange(width + 2 * shift)
+        out = np.zeros(len(item), bool)
+        for lo in range(0, len(item), 4096):
+            words_, at = padded[item[lo : lo + 4096]], base[lo : lo + 4096]
+            window = room[(at + width)[:, None] + near]
+            hit = np.zeros(words_.shape, bool)
+            for s in range(2 * shift + 1):
+                hit |= words_ == window[:, s : s + width]
+            gain = np.zeros((len(at), width + 1), np.int32)
+            np.cumsum(np.where(hit, 1, 1 - EDITS_PER_WORD), axis=1, out=gain[:, 1:])
+            if width >= MIN_WORDS:
+                least = np.minimum.accumulate(gain[:, :-MIN_WORDS], axis=1)
+                out[lo : lo + 4096] = (gain[:, MIN_WORDS:] >= least).any(axis=1)
+        return out
+
     def _shard(self, docs: list[np.ndarray], numbers: list[int]) -> list[tuple[int, int, int, int]]:
         array = SuffixArray(np.concatenate(docs))
         if not len(array.at) or not len(self.query):
@@ -136,33 +164,36 @@ class Items:
         lo, hi = array.ranges(self.query)
         counts = hi - lo
         which = np.repeat(np.arange(len(counts)), counts)
-        rows = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = array.at[rows]
+        at = array.at[lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)]
+        if not len(at):
+            return []
+        item, base = self.owner[which], at - self.place[which]
+        # successive seeds on one diagonal are one longer verbatim match
+        order = np.lexsort((at, base, item))
+        item, base, at = item[order], base[order], at[order]
+        turn = (np.diff(item) != 0) | (np.diff(base) != 0)
+        run = np.flatnonzero(np.concatenate([[True], turn | (np.diff(at) != 1)]))
+        length = np.diff([*run, len(at)]) + SEED - 1
+        item, base, at = item[run], base[run], at[run]
+        fresh = np.flatnonzero(np.concatenate([[True], (np.diff(item) != 0) | (np.diff(base) != 0)]))
+        likely = np.repeat(self._likely(array.ids, item[fresh], base[fresh]), np.diff([*fresh, len(item)]))
         doc = np.searchsorted(begin, at, "right") - 1
+        pair = doc * len(self.item) + item
+        by_pair = np.argsort(pair, kind="stable")
         found = []
-        order = np.lexsort((at, self.owner[which], doc))
-        doc, item, at, place = doc[order], self.owner[which][order], at[order], self.place[which][order]
-        edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else []
-        for a, b in zip(edges, [*edges[1:], len(doc)]):
-            d, it = docs[doc[a]], self.item[item[a]]
-            offset = at[a:b] - begin[doc[a]]
-            # successive seeds on one diagonal are one longer match
-            diagonal = offset - place[a:b]
-            by = np.lexsort((offset, diagonal))
-            fresh = np.concatenate([[True], (np.diff(diagonal[by]) != 0) | (np.diff(offset[by]) != 1)])
-            runs = np.flatnonzero(fresh)
-            lengths = np.diff([*runs, len(by)]) + SEED - 1
-            best = int(np.argmax(lengths))
-            longest, first = int(lengths[best]), int(offset[by][runs[best]])
-            ok = longest >= MIN_WORDS
-            if not ok and len(it) >= MIN_WORDS:
-                # a run of at least SEED words of a passage lies near each seed; look around every cluster of seeds
-                span = len(it) + len(it) // EDITS_PER_WORD + 1
-                points = np.unique(offset)
-                clusters = np.split(points, np.flatnonzero(np.diff(points) > span) + 1)
-                ok = any(holds_passage(it, d[max(0, c[0] - span) : c[-1] + SEED + span]) for c in clusters)
+        certain = np.unique(pair[length >= MIN_WORDS])
+        open_ = np.setdiff1d(pair[likely], certain)
+        for p in [*certain, *open_]:
+            d, i = divmod(int(p), len(self.item))
+            mine = by_pair[slice(*np.searchsorted(pair[by_pair], [p, p + 1]))]
+            words_, text = self.item[i], docs[d]
+            slack = len(words_) // EDITS_PER_WORD + 1
+            ok = p in certain or any(
+                holds_passage(words_, text[max(0, b - slack) : max(0, b) + len(words_) + slack]) for b in np.unique(base[mine[likely[mine]]]) - begin[d]
+            )
             if ok:
-                found.append((numbers[doc[a]], int(item[a]), longest, first))
+                best = mine[np.argmax(length[mine])]
+                found.append((numbers[d], i, int(length[best]), int(at[best] - begin[d])))
         return found
 
 
