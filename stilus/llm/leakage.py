@@ -18,20 +18,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stilus.llm.lookalike import plain
+from stilus.llm.lookalike import words_text
 
 SEED, MIN_WORDS, EDITS_PER_WORD = 7, 28, 10
 #: Words in one shard's suffix array at most, unless a single document is longer.
 SHARD_WORDS = 2_000_000
 _MARKUP = re.compile(r"<[^<>]{0,300}>|&(?:[a-zA-Z]{2,8}|#\d{1,7});")
-_WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str) -> list[str]:
     """Words without case, punctuation, markup, accents' encoding and look-alike characters."""
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
-    return _WORD.findall(plain(text))
+    return words_text(text).split(" ")
 
 
 class SuffixArray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stilus.llm import canonical, chunking, frequency, leakage, overlap
+from stilus.llm import canonical, chunking, frequency, leakage, overlap, pii
 from stilus.session import table
 
 
@@ -40,6 +40,19 @@ def p4_found(spark, folder):
     return p4_pieces(spark, folder).where("n_pieces > 1").select("post_id").distinct()
 
 
+def _p5(spark, folder, run):
+    posts = run(table(spark, folder, "blog_posts"), "post_id", "text", "text")
+    return posts.unionByName(run(table(spark, folder, "ling_entries"), "entry_id", "preprocessed", "preprocessed"))
+
+
+def p5_found(spark, folder):
+    return _p5(spark, folder, pii.kinds_found).distinct()
+
+
+def p5_redacted(spark, folder):
+    return _p5(spark, folder, pii.redact_table)
+
+
 def p7_terms(spark, folder):
     tokens = frequency.term_frequencies(table(spark, folder, "ling_entries"), "entry_id", "tokens")
     return tokens.unionByName(frequency.term_frequencies(table(spark, folder, "bert_inputs"), "enc_id", "input_ids"))
@@ -68,7 +81,7 @@ def p8_clean(spark, folder):
     return leakage.without_leaks(docs, "doc_id", p8_leaks(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p8_found, p8_leaks, p8_items, p8_clean, p3_found, p3_canonical, p4_found, p4_pieces, p7_found, p7_terms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p8_found, p8_leaks, p8_items, p8_clean, p3_found, p3_canonical, p4_found, p4_pieces, p5_found, p5_redacted, p7_found, p7_terms)}
 
 _TERMS = """WITH r AS (
   SELECT 'tokens' AS field, entry_id AS id, min(tokens) AS a FROM ling_entries WHERE tokens IS NOT NULL GROUP BY entry_id
