@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stilus.llm import canonical, chunking, frequency, leakage, overlap, pii
+from stilus.llm import canonical, chunking, frequency, language, leakage, overlap, pii
 from stilus.session import table
 
 
@@ -81,7 +81,19 @@ def p8_clean(spark, folder):
     return leakage.without_leaks(docs, "doc_id", p8_leaks(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p8_found, p8_leaks, p8_items, p8_clean, p3_found, p3_canonical, p4_found, p4_pieces, p5_found, p5_redacted, p7_found, p7_terms)}
+def p10_segments(spark, folder):
+    docs = table(spark, folder, "documents")
+    net = language.train_on(docs, "doc_id", "text", "lang")
+    return language.label_documents(docs, "doc_id", "text", net)
+
+
+def p10_found(spark, folder):
+    docs = table(spark, folder, "documents")
+    net = language.train_on(docs, "doc_id", "text", "lang")
+    return language.mislabelled(docs, "doc_id", "text", "lang", net)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p8_found, p8_leaks, p8_items, p8_clean, p10_found, p10_segments, p3_found, p3_canonical, p4_found, p4_pieces, p5_found, p5_redacted, p7_found, p7_terms)}
 
 _TERMS = """WITH r AS (
   SELECT 'tokens' AS field, entry_id AS id, min(tokens) AS a FROM ling_entries WHERE tokens IS NOT NULL GROUP BY entry_id
