@@ -163,42 +163,37 @@ def train(texts: list[str], labels: list[int], steps: int = 1500, batch: int = 4
     return net
 
 
-def position_scores(net: ByteNetwork, blobs: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(blob, first position, scores of successive positions) for every position. The scores are
-    log-probabilities up to a constant of the position, which no comparison of languages sees.
+def word_scores(net: ByteNetwork, texts: list[str]) -> list[np.ndarray]:
+    """Per text, a row per word: the sum of the scores of its positions, which are log-probabilities
+    up to a constant that no comparison of languages sees.
 
-    Long blobs are read in windows with SIDE bytes of neighbouring text at either side."""
-    step = WINDOW - 2 * SIDE
-    where = [(i, at) for i, b in enumerate(blobs) for at in range(0, max(1, len(b)), step)]
-    where.sort(key=lambda p: min(WINDOW, len(blobs[p[0]]) - p[1] + SIDE))
-    for lo in range(0, len(where), BATCH):
-        part = where[lo : lo + BATCH]
-        pieces = [blobs[i][max(0, at - SIDE) : at + step + SIDE] for i, at in part]
-        width = max(map(len, pieces))
-        x = np.zeros((len(part), width), np.uint8)
-        for j, s in enumerate(pieces):
-            x[j, : len(s)] = np.frombuffer(s, np.uint8)
-        logit = net.logits(np.ascontiguousarray(x.T)).transpose(1, 0, 2)
-        for j, (i, at) in enumerate(part):
-            a = at - max(0, at - SIDE)
-            yield i, at, logit[j, a : a + min(step, len(blobs[i]) - at)]
-
-
-_TOKEN = re.compile(rb"[^\s]+")
-
-
-def word_scores(net: ByteNetwork, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per text: (start, end) bytes of each word, and the sum of its positions' scores."""
+    Every position is labelled once. Long texts are read in windows, with SIDE bytes of their own
+    neighbouring text at either side of a window; short ends are filled up with zero bytes.
+    """
     blobs = [read_as(t) for t in texts]
-    sums = [np.zeros((len(b) + 1, len(CODES)), np.float32) for b in blobs]
-    for i, at, logp in position_scores(net, blobs):
-        sums[i][at + 1 : at + 1 + len(logp)] = logp
-    out = []
-    for b, s in zip(blobs, sums):
-        np.cumsum(s, axis=0, out=s)
-        spans = np.array([m.span() for m in _TOKEN.finditer(b)], np.int64).reshape(-1, 2)
-        out.append((spans[:, 0], spans[:, 1], s[spans[:, 1]] - s[spans[:, 0]]))
-    return out
+    size = np.array([len(b) for b in blobs], np.int64)
+    begin = np.cumsum(size + 1) - (size + 1)
+    buffer = np.frombuffer(b" ".join(blobs) + b" " + bytes(WINDOW), np.uint8)
+    scores = np.zeros((len(buffer), len(CODES)), np.float32)
+    step = WINDOW - 2 * SIDE
+    count = -(-size // step)
+    doc = np.repeat(np.arange(len(blobs)), count)
+    at = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * step
+    first = np.maximum(0, at - SIDE)
+    width = np.minimum(at + step + SIDE, size[doc]) - first
+    order = np.argsort(width, kind="stable")
+    for lo in range(0, len(order), BATCH):
+        w = order[lo : lo + BATCH]
+        place = np.arange(int(width[w].max()))[:, None] + (begin[doc[w]] + first[w])
+        x = np.where(np.arange(len(place))[:, None] < width[w], buffer[place], 0)
+        logit = net.logits(x)
+        own = (place >= begin[doc[w]] + at[w]) & (place < begin[doc[w]] + np.minimum(at[w] + step, size[doc[w]]))
+        scores[place[own]] = logit[own]
+    words = np.array([b.count(b" ") + 1 if b else 0 for b in blobs])
+    starts = np.flatnonzero(np.concatenate([[True], buffer[: int((size + 1).sum()) - 1] == 32])) if len(blobs) else np.zeros(0, np.int64)
+    starts = starts[~np.isin(starts, begin[size == 0])]
+    sums = np.add.reduceat(scores, starts, axis=0) if len(starts) else scores[:0]
+    return np.split(sums, np.cumsum(words)[:-1]) if len(blobs) else []
 
 
 #: Share of a position's evidence that counts: neighbouring positions tell much the same.
@@ -304,7 +299,7 @@ def _per_document(docs: DataFrame, key: str, text: str, label: str | None, net:
             out = []
             for lo in range(0, len(ids), 1000):
                 hi = lo + 1000
-                for i, given, (_, _, scores) in zip(ids[lo:hi], labels[lo:hi], word_scores(own, texts[lo:hi])):
+                for i, given, scores in zip(ids[lo:hi], labels[lo:hi], word_scores(own, texts[lo:hi])):
                     out += [(i, *r) for r in rows_of(scores, given)]
             yield pd.DataFrame(out, columns=[key, *columns])
 

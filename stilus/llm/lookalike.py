@@ -31,9 +31,17 @@ def _pairs() -> dict[str, str]:
 
 
 PAIRS = _pairs()
-_PY = {ord(k): v for k, v in (PAIRS | LIGATURES).items()} | {ord(c): None for c in INVISIBLE}
+class _Table(dict):
+    """A translation table that remembers the characters it leaves alone: misses are slow."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
+_PY = _Table({ord(k): v for k, v in (PAIRS | LIGATURES).items()} | {ord(c): None for c in INVISIBLE})
 #: One to one on positions: what has no counterpart of one character stays.
-_PY_KEEP = {ord(k): v for k, v in PAIRS.items()}
+_PY_KEEP = _Table({ord(k): v for k, v in PAIRS.items()})
 
 
 def visible(text: str) -> str:
@@ -61,33 +69,26 @@ def visible_column(text: Column) -> Column:
     return F.when(_is_ascii(text), text).otherwise(out)
 
 
-def _base_letters() -> dict[str, str]:
-    out = {}
-    for c in range(0xC0, 0x250):
-        d = unicodedata.normalize("NFD", chr(c).lower())
-        if len(chr(c).lower()) == 1 and len(d) > 1 and d[0].isascii():
-            out[chr(c).lower()] = d[0]
-    return out
-
-
-_BASE = _base_letters()
-MARKS = "".join(chr(c) for c in range(0x300, 0x370))
-
+class _Letters(dict):
+    """Code point to what it contributes to `words_text`; filled as characters are met."""
 
-def plain_words(text: Column) -> Column:
-    """The words of `text` joined by single spaces, for comparisons that ignore case, punctuation,
-    spacing, accents' encoding and characters that look the same. Accents themselves are folded,
-    which makes one spelling of composed and combining accents. Null gives null."""
-    lower = F.lower(visible_column(text))
-    folded = F.when(_is_ascii(lower), lower).otherwise(F.translate(lower, "".join(_BASE) + MARKS, "".join(_BASE.values())))
-    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
+    def __missing__(self, code: int) -> str:
+        out = ""
+        for c in chr(code).translate(_PY).lower():
+            d = unicodedata.normalize("NFD", c)
+            if unicodedata.combining(c):
+                continue
+            if len(d) > 1 and all(map(unicodedata.combining, d[1:])):
+                c = d[0]
+            out += c if c.isalnum() else " "
+        self[code] = out
+        return out
 
 
-_PY_FOLD = {ord(k): v for k, v in _BASE.items()} | {ord(c): None for c in MARKS}
+_LETTERS_OF = _Letters()
 
 
-def plain(text: str) -> str:
-    """Lower case, look-alikes mapped, accents folded: the letters `plain_words` sees."""
-    if text.isascii():
-        return text.lower()
-    return text.translate(_PY).lower().translate(_PY_FOLD)
+def words_text(text: str) -> str:
+    """The words of `text` joined by single spaces, without case, punctuation, spacing, accents and
+    invisible characters, look-alike letters made one: what comparisons of wording look at."""
+    return " ".join(text.translate(_LETTERS_OF).split())
