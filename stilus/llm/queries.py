@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stilus.llm import canonical, chunking, frequency, language, leakage, overlap, pii
+from stilus.llm import abuse, canonical, chunking, frequency, language, leakage, mixing, overlap, pii
 from stilus.session import table
 
 
@@ -93,7 +93,34 @@ def p10_found(spark, folder):
     return language.mislabelled(docs, "doc_id", "text", "lang", net)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p8_found, p8_leaks, p8_items, p8_clean, p10_found, p10_segments, p3_found, p3_canonical, p4_found, p4_pieces, p5_found, p5_redacted, p7_found, p7_terms)}
+def p6_scores(spark, folder):
+    docs = table(spark, folder, "documents")
+    return abuse.score_documents(docs, *abuse.fit(docs, table(spark, folder, "doc_labels")))
+
+
+def p6_found(spark, folder):
+    return p6_scores(spark, folder).where("abusive").select("doc_id").distinct()
+
+
+def p6_rates(spark, folder):
+    """Per source: documents, abusive ones and their share."""
+    by = p6_scores(spark, folder).groupBy("source").agg(F.count("*").alias("n_documents"), F.sum(F.col("abusive").cast("int")).alias("n_abusive"))
+    return by.withColumn("rate", F.col("n_abusive") / F.col("n_documents"))
+
+
+def _p9(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), "doc_id", "text", "source")
+
+
+def p9_mixture(spark, folder):
+    return _p9(spark, folder)[0]
+
+
+def p9_shares(spark, folder):
+    return _p9(spark, folder)[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p8_found, p8_leaks, p8_items, p8_clean, p10_found, p10_segments, p6_found, p6_scores, p6_rates, p9_mixture, p9_shares, p3_found, p3_canonical, p4_found, p4_pieces, p5_found, p5_redacted, p7_found, p7_terms)}
 
 _TERMS = """WITH r AS (
   SELECT 'tokens' AS field, entry_id AS id, min(tokens) AS a FROM ling_entries WHERE tokens IS NOT NULL GROUP BY entry_id
