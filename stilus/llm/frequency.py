@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stilus.functions.text import with_firsts
+
 
 def one_per_id(df: DataFrame, key: str, terms: str) -> DataFrame:
     """(key, terms): one non-null array per id; where repeats differ, the smallest array."""
@@ -26,8 +28,8 @@ def term_frequencies(df: DataFrame, key: str, terms: str, min_records: int = 3,
     # read once, counted on the way: the number of records is needed for the share only
     records = one_per_id(df.select(key, terms), key, terms)
     total = df.where(F.col(terms).isNotNull()).agg(F.count_distinct(F.coalesce(F.xxhash64(key), F.lit(0)))).first()[0]
-    each = records.select(F.array_sort(kept).alias("s")).select("s", F.posexplode("s").alias("i", "term"))
-    first = (F.col("i") == 0) | (F.col("term") != F.get("s", F.col("i") - 1))
-    counts = each.select("term", first.cast("int").alias("first")).groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"), F.sum("first").alias("records"))
+    kind = dict(df.dtypes)[terms].removeprefix("array<").removesuffix(">")
+    each = records.select(F.array_sort(kept).alias("s")).select(F.explode(with_firsts(F.col("s"), kind)).alias("e"))
+    counts = each.groupBy(F.col("e.term").alias("term")).agg(F.count(F.lit(1)).alias("occurrences"), F.sum(F.col("e.first").cast("int")).alias("records"))
     mark = F.when(F.col("records") < min_records, "rare").when(F.col("records") > F.lit(max_share) * F.lit(float(total)), "common")
     return counts.select(F.lit(terms).alias("field"), F.col("term").cast("string").alias("term"), "occurrences", "records", mark.alias("mark"))
