@@ -1,18 +1,19 @@
-"""The same or nearly the same records across splits (problem 1): a weighted cosine join.
-
-Each text is a vector over its runs of successive words, weighted by their rarity: runs of 5 words,
-and for short texts, where a few edits leave no run of 5 whole, runs of 3. Rarity is estimated from
-counts of the words and word triples of all texts (a run of five has the chance of its first three
-words times that of the last two after the third), so no table of runs is needed. Only terms that can occur on both sides have weight: their
-maximum weight on the other side is above 0.
-
-Terms are ordered from rare to common. A text's postings go into the inverted lists up to where the
-rest of its vector can't reach the threshold any more, by two bounds on the rest's dot product with
-any partner: its norm (a partner's whole norm is 1), and its weights times the largest weights a
-partner may have (a partner's norm before scaling is at least RATIO of the text's own). Joining the
-lists of the two sides adds up the dot product of what was indexed; a pair whose sum plus the
-product of the two unindexed norms stays under the threshold is dropped. The others get their exact
-dot product from the texts, and an optional exact condition on the two word sequences.
+"""The same or nearly the same records across splits (problem 1): an exact join by word order.
+
+A pair counts if at least 80 % of the words of the longer text stand in the other in the same order.
+So the two have at least t = 80 % of the longer one's words in common, and every filter here follows
+from that alone:
+
+- lengths: 5 words of the shorter for 4 of the longer;
+- words: put the words of all texts in one order, rare before common, a word's repetitions in a text
+  as words of their own. A text of n words lacks at most n - 80 % of n of the common ones, so the
+  first m common words in that order lie among its first n - 80 % of n + m, in both texts. With m of
+  `asked`, a pair whose heads share fewer than m words is none.
+
+Words found on one side only stand first in the order: they use up a text's head and meet nothing.
+The order touches the cost alone. Texts of a side are cut by length into chunks; each pair of chunks
+of near lengths is one group of rows, in which the shared words of all heads are counted. Pairs that
+pass are decided by the exact condition on their two word sequences.
 
 Copies of one text are one class throughout; ids come back only at the end.
 """
@@ -20,7 +21,7 @@ Copies of one text are one class throughout; ids come back only at the end.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,23 +32,26 @@ from pyspark.sql import functions as F
 from stilus.llm.lookalike import words_text
 from stilus.session import materialize
 
-THRESHOLD, RATIO, MIN_WORDS = 0.3, 0.75, 10
-#: (words in a run, least and most words of the texts it is used for). Two texts whose lengths are
-#: within LENGTHS of each other share at least one of these.
-LENGTHS = 0.8
-#: A term expected RARE times or less among all texts has weight 1, a more common one less by SLOPE
-#: for each e-fold, down to FLOOR: a list of postings that counts has few texts at any corpus size.
-RARE, SLOPE, FLOOR = 2.0, 0.6, 0.05
-RUNS = ((5, 32, 1 << 40), (3, 0, 40))
-#: Bounds of what is sent to every task. Words and triples beyond them count as rare, which costs
-#: longer lists but loses nothing.
-MAX_WORDS, MAX_TRIPLES = 1 << 18, 1 << 20
-#: Bits of the map of the other side's terms: 2^26 bits, 8 MB, whatever the data.
-MAP_BITS = 26
+MIN_WORDS = 10
+#: Texts of a side in one group of rows. Every text goes to each chunk of the other side whose lengths
+#: are near: larger chunks mean fewer copies and fewer, larger tasks.
+CHUNK = 1 << 15
+#: Bound of the word table sent to every task. Words beyond it count as rare and as found on both
+#: sides, which costs longer heads but loses nothing.
+MAX_WORDS = 1 << 18
 #: Class ids are sent to every task up to this many candidates; beyond it they are joined by shuffle.
 MAX_SENT = 1_000_000
-_LOG = 512
-_ROWS, _WEIGHT_BITS, _TERM_BITS, _SCALE = 1 << 13, 14, 36, 1 << 10
+_ROWS = 1 << 13
+
+
+def least_common(n):
+    """80 % of n words, rounded up."""
+    return -(-4 * n // 5)
+
+
+def asked(n):
+    """Shared words asked of the heads of two texts, the shorter of n words; never above 80 % of n."""
+    return np.minimum(n // 5 + 4, least_common(n))
 
 
 def _outside(word: str) -> int:
@@ -59,117 +63,97 @@ def _outside(word: str) -> int:
 
 
 @dataclass
-class Rarity:
-    """Counts of the words and word triples found on both sides, and the number of words in all."""
-
-    word_id: dict[str, int]
-    word_n: np.ndarray
-    triple: np.ndarray
-    triple_n: np.ndarray
-    total: int
+class Order:
+    """The order of words: the place of each word found on both sides, rare before common. `complete`:
+    a word without a place is found on one side only."""
+
+    place: dict[str, int]
     complete: bool
-    _table: tuple | None = None
-
-    def vectors(self, texts: list[str], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, weight) of the distinct terms of each text that RUNS[kind] is for: rows
-        ascending, in a row from heavy to light, equal weights by term."""
-        parts = [self._vectors(texts[lo : lo + _ROWS], kind, lo) for lo in range(0, len(texts), _ROWS)]
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        return tuple(np.concatenate(x) for x in zip(*parts))
-
-    def _vectors(self, texts: list[str], kind: int, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        run, least, most = RUNS[kind]
-        get, size = self.word_id.get, len(self.word_id) + 1
+
+    def heads(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
+        """(number of words, numbers of the words in the head that may be shared) of each text."""
+        return [h for lo in range(0, len(texts), _ROWS) for h in self._heads(texts[lo : lo + _ROWS])]
+
+    def _heads(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        get = self.place.get
         flat: list[int] = []
         lengths = []
         for t in texts:
             words = t.split(" ")
-            if least <= len(words) <= most:
-                ids = [get(w, -1) for w in words]
-                if not self.complete and -1 in ids:
-                    ids = [i if i >= 0 else _outside(w) for i, w in zip(ids, words)]
-                flat += ids
-                lengths.append(len(ids))
+            ids = [get(w, -1) for w in words]
+            if not self.complete and -1 in ids:
+                ids = [i if i >= 0 else -_outside(w) for i, w in zip(ids, words)]
+            flat += ids
+            lengths.append(len(ids))
+        n, place = np.array(lengths, np.int64), np.array(flat, np.int64)
+        row = np.repeat(np.arange(len(texts)), n)
+        place = place[np.lexsort((place, row))]
+        first = np.cumsum(n) - n
+        at = np.arange(len(row))
+        new = np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
+        repeat = at - np.maximum.accumulate(np.where(new, at, 0))
+        keep = (at - first[row] < (n - least_common(n) + asked(n))[row]) & (place != -1)
+        # equal numbers of different words can only add to what is shared
+        h = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + repeat.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        h = ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
+        return zip(lengths, np.split(h[keep].astype(np.uint32), np.cumsum(np.bincount(row[keep], minlength=len(texts)))[:-1]))
+
+
+@dataclass
+class Chunks:
+    """The texts of a side cut by length: chunk c holds lengths low[c] to high[c], `parts` chunks in a
+    row the same ones."""
+
+    low: np.ndarray
+    high: np.ndarray
+    parts: np.ndarray
+
+    @staticmethod
+    def of(sizes: list[tuple[int, int]]) -> Chunks:
+        """From pairs (length, number of texts)."""
+        cut: list[list[int]] = []
+        for n, count in sorted(sizes):
+            if cut and cut[-1][2] + count <= CHUNK:
+                cut[-1][1], cut[-1][2] = n, cut[-1][2] + count
             else:
-                lengths.append(0)
-        w = np.array(flat, np.int64)
-        row = np.repeat(np.arange(len(texts)), lengths)
-        n = len(w) - run + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        known = (w >= 0) & (w < size)
-        ok = row[:n] == row[run - 1 :]
-        if self.complete:  # a word that isn't on both sides is in no common run
-            bad = np.concatenate([[0], np.cumsum(~known)])
-            ok &= bad[run : run + n] == bad[:n]
-        # log of the chance of a run: of its first three words, then of each two more after the word before
-        count = np.where(known, self.word_n[np.where(known, w, 0)], 1).astype(np.float64)
-        three = known[:-2] & known[1:-1] & known[2:]
-        code = np.where(three, (w[:-2] * size + w[1:-1]) * size + w[2:], -1)
-        tri = np.log(np.where(three, self._triples(code), 1))
-        at = np.flatnonzero(ok)
-        logs = tri[at] - np.log(self.total)
-        for k in range(2, run - 1, 2):
-            logs += tri[at + k] - np.log(count[at + k])
-        weight = np.round(np.clip(1 - SLOPE * (logs + np.log(self.total / RARE)), FLOOR, 1.0) * _SCALE).astype(np.int64)
-        term = w.astype(np.uint64)[at] + np.uint64(kind + 1)
-        for k in range(1, run):
-            term = (term ^ (term >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + w.astype(np.uint64)[at + k]
-        term = (term ^ (term >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - _TERM_BITS)
-        # row, falling weight and term in one number: sorting it orders and brings equal terms together
-        key = ((row[at] << _WEIGHT_BITS | ((1 << _WEIGHT_BITS) - 1 - weight)) << _TERM_BITS) | term.astype(np.int64)
-        key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        weight = (1 << _WEIGHT_BITS) - 1 - ((key >> _TERM_BITS) & ((1 << _WEIGHT_BITS) - 1))
-        return (key >> (_TERM_BITS + _WEIGHT_BITS)) + offset, key & ((1 << _TERM_BITS) - 1), weight / _SCALE
-
-    def _triples(self, code: np.ndarray) -> np.ndarray:
-        """How often each word triple occurs; one outside the table counts as 1. Looked up in one slot
-        of a hash table, which keeps the most frequent of the triples that share it."""
-        place = lambda c: (c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
-        if self._table is None:
-            keys, n = np.full(1 << 22, -2, np.int64), np.ones(1 << 22, np.int32)
-            order = np.lexsort((self.triple, self.triple_n))
-            at = place(self.triple[order])
-            keys[at], n[at] = self.triple[order], np.minimum(self.triple_n[order], 2**31 - 1)
-            self._table = keys, n
-        keys, n = self._table
-        at = place(code)
-        return np.where(keys[at] == code, n[at], 1)
-
-    def __getstate__(self):
-        return self.__dict__ | {"_table": None}
-
-    def indexed(self, texts: list[str], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, weight, norm, rest): the postings to index, and per posting the norm of its
-        text's vector and the norm of what isn't indexed (scaled, so that the whole has norm 1)."""
-        r, t, w = self.vectors(texts, kind)
-        if not len(r):
-            z = np.zeros(0)
-            return r, t, z, z, z
-        total = np.bincount(r, w * w, len(texts))
-        done = np.concatenate([[0.0], np.cumsum(w * w)])
-        before = done[:-1] - done[np.searchsorted(r, np.arange(len(texts)))][r]
-        rest = np.clip(1 - before / total[r], 0, 1)  # squared norm of this term and all lighter ones
-        keep = np.minimum(np.sqrt(rest), rest / RATIO) >= THRESHOLD
-        left = np.sqrt(np.clip(1 - np.bincount(r[keep], (w * w)[keep], len(texts)) / np.maximum(total, 1e-9), 0, 1))
-        norm = np.sqrt(total)
-        return r[keep], t[keep], w[keep], norm[r[keep]], left[r[keep]]
-
-    def cosines(self, a: list[str], b: list[str]) -> np.ndarray:
-        """The exact dot product of the scaled vectors of a[i] and b[i], the larger over the kinds."""
-        out = np.zeros(len(a))
-        for kind in range(len(RUNS)):
-            (ra, ta, wa), (rb, tb, wb) = self.vectors(a, kind), self.vectors(b, kind)
-            na, nb = np.bincount(ra, wa * wa, len(a)), np.bincount(rb, wb * wb, len(b))
-            r, t, w = np.concatenate([ra, rb]), np.concatenate([ta, tb]), np.concatenate([wa, wb])
-            order = np.lexsort((t, r))
-            r, t, w = r[order], t[order], w[order]
-            same = np.flatnonzero((r[1:] == r[:-1]) & (t[1:] == t[:-1]))
-            dot = np.bincount(r[same], w[same] ** 2, len(a))
-            out = np.maximum(out, dot / np.maximum(np.sqrt(na * nb), 1e-9))
-        return out
+                cut.append([n, n, count])
+        rows = [(lo, hi, -(-count // CHUNK)) for lo, hi, count in cut]
+        low, high, parts = (np.array([r[i] for r in rows for _ in range(r[2])], np.int64) for i in range(3))
+        return Chunks(low, high, parts)
+
+    def chunk(self, n: int, number: int) -> int:
+        c = int(np.searchsorted(self.high, n))
+        return c + number % int(self.parts[c])
+
+    def near(self, n: int) -> np.ndarray:
+        """Chunks with texts that may fit one of n words."""
+        return np.flatnonzero((5 * n >= 4 * self.low) & (5 * self.high >= 4 * n))
+
+
+def meetings(n_a: np.ndarray, heads_a: list[np.ndarray], n_b: np.ndarray, heads_b: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(a, its b): for each text of one side the texts of the other of near length whose head shares
+    as many words with its head as are asked."""
+    by_length = np.argsort(n_b, kind="stable")
+    n_b = n_b[by_length]
+    tokens = np.concatenate([heads_b[i] for i in by_length])
+    text = np.repeat(np.arange(len(n_b)), [len(heads_b[i]) for i in by_length])
+    order = np.argsort(tokens, kind="stable")
+    text = text[order]
+    known, number = np.unique(tokens[order], return_inverse=True)
+    lists = number * len(n_b) + text  # ascending: by word, then by length
+    for a, (n, head) in enumerate(zip(n_a, heads_a)):
+        lo, hi = np.searchsorted(n_b, least_common(n)), np.searchsorted(n_b, 5 * n // 4, "right")
+        if lo == hi or not len(head) or not len(known):
+            continue
+        k = np.minimum(np.searchsorted(known, head), len(known) - 1)
+        k = k[known[k] == head] * len(n_b)
+        inside = [text[x:y] for x, y in zip(np.searchsorted(lists, k + lo), np.searchsorted(lists, k + hi)) if x < y]
+        if len(inside) >= asked(least_common(n)):
+            shared = np.bincount(np.concatenate(inside), minlength=len(n_b))[lo:hi]
+            hit = np.flatnonzero(shared >= asked(least_common(n)))  # the least asked of any partner first
+            hit = hit[shared[hit] >= asked(np.minimum(n_b[lo + hit], n))]
+            if len(hit):
+                yield a, by_length[lo + hit]
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -201,35 +185,11 @@ def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
     return counts.where(F.col("n") >= int(inside["n"].min())).toArrow().to_pandas()
 
 
-def _rarity(texts: DataFrame, words: DataFrame) -> Rarity:
+def _order(words: DataFrame) -> Order:
     words = materialize(words.groupBy("word").agg(F.sum("l").alias("l"), F.sum("r").alias("r")), "words")
     both = _most_frequent(words.where("l > 0 AND r > 0").select("word", (F.col("l") + F.col("r")).alias("n")), MAX_WORDS)
-    total = int(words.agg(F.sum(F.col("l") + F.col("r"))).first()[0] or 0)
-    ids = {w: i for i, w in enumerate(both["word"])}
-    sent = texts.sparkSession.sparkContext.broadcast(ids)
-    size = len(ids) + 1
-
-    def count_triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = sent.value.get
-        kept: list[np.ndarray] = []
-
-        def frame() -> pd.DataFrame:
-            code, n = np.unique(np.concatenate(kept) if kept else np.zeros(0, np.int64), return_counts=True)
-            return pd.DataFrame({"code": code, "n": n})
-
-        for batch in batches:
-            flat = np.fromiter((get(w, -1) for t in batch["words"] for w in (*t.split(" "), "")), np.int64)
-            a, b, c = flat[:-2], flat[1:-1], flat[2:]
-            ok = (a >= 0) & (b >= 0) & (c >= 0)
-            kept.append((a[ok] * size + b[ok]) * size + c[ok])
-            if sum(map(len, kept)) > 4_000_000:
-                yield frame()
-                kept = []
-        yield frame()
-
-    pairs = texts.select("words").mapInPandas(count_triples, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    pairs = _most_frequent(materialize(pairs.where("n > 1"), "triples"), MAX_TRIPLES)  # one outside counts as 1
-    return Rarity(ids, both["n"].to_numpy(np.int64) if len(both) else np.ones(1, np.int64), pairs["code"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64), max(total, 1), len(ids) < MAX_WORDS)
+    complete = len(both) == words.where("l > 0 AND r > 0").count()
+    return Order({w: i for i, w in enumerate(both.sort_values(["n", "word"])["word"])}, complete)
 
 
 def classes(records: DataFrame, key: str, text: str, is_left, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -240,7 +200,7 @@ def classes(records: DataFrame, key: str, text: str, is_left, min_words: int = M
 
     def counts(sides) -> pd.DataFrame:
         parts = [pd.DataFrame({"word": list(c), "l": [n * left for n in c.values()], "r": [n * (1 - left) for n in c.values()]}) for left, c in enumerate(sides)]
-        return pd.concat(parts, ignore_index=True).assign(id=None, is_left=None, words=None)[["id", "is_left", "words", "word", "l", "r"]]
+        return pd.concat(parts, ignore_index=True).astype({"word": object}).assign(id=None, is_left=None, words=None)[["id", "is_left", "words", "word", "l", "r"]]
 
     def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sides = (Counter(), Counter())
@@ -260,56 +220,41 @@ def classes(records: DataFrame, key: str, text: str, is_left, min_words: int = M
     return both.where("word IS NULL").select("id", "is_left", "class", "words"), both.where("word IS NOT NULL").select("word", "l", "r")
 
 
-def near_pairs(rows: DataFrame, words: DataFrame, exact: Callable[[str, str], bool] | None = mostly_same) -> DataFrame:
-    """(left, right, cosine): pairs of different classes of the two sides at or above the threshold
-    that also fulfil `exact`. rows, words: as from `classes`."""
-    rarity = _rarity(rows, words)
+def near_pairs(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(left, right): all pairs of different classes of the two sides that are mostly the same.
+    rows, words: as from `classes`."""
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(rarity)
+    sent = spark.sparkContext.broadcast(_order(words))
 
-    # of the copies of a text on a side, one is indexed
+    # of the copies of a text on a side, one takes part
     copied = materialize(rows.groupBy("class", "is_left").agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copied")
     single = rows.join(F.broadcast(copied) if copied.count() <= MAX_SENT else copied, ["class", "is_left"], "left").where("one IS NULL OR id = one")
+    sizes = single.groupBy("is_left", F.size(F.split("words", " ")).alias("n")).count().collect()
+    cut = {left: Chunks.of([(r["n"], r["count"]) for r in sizes if r["is_left"] == left]) for left in (True, False)}
+    columns = len(cut[False].low)
 
-    def of(left: bool) -> DataFrame:
-        return single.where(F.col("is_left") == F.lit(left)).select("class", "words")
-
-    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["words"].tolist()
-            t = np.unique(np.concatenate([sent.value.indexed(texts, kind)[1] for kind in range(len(RUNS))]) & ((1 << MAP_BITS) - 1))
-            words, at = np.unique(t >> 6, return_index=True)
-            masks = np.bitwise_or.reduceat(np.uint64(1) << (t & 63).astype(np.uint64), at) if len(t) else np.zeros(0, np.uint64)
-            yield pd.DataFrame({"word": words, "mask": masks.view(np.int64)})
-
-    # maximum weight 0: terms of the left side that the right side indexes nowhere have no posting
-    marked = of(False).mapInPandas(marks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow().to_pandas()
-    bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    bits[marked["word"].to_numpy(np.int64)] = marked["mask"].to_numpy(np.int64).view(np.uint64)
-    sent_bits = spark.sparkContext.broadcast(bits)
-
-    def postings(batches: Iterator[pd.DataFrame], prune: bool) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, own = batch["words"].tolist(), batch["class"].to_numpy()
-            for kind in range(len(RUNS)):
-                r, t, w, norm, rest = sent.value.indexed(texts, kind)
-                if prune:
-                    h = t & ((1 << MAP_BITS) - 1)
-                    k = (sent_bits.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    r, t, w, norm, rest = r[k], t[k], w[k], norm[k], rest[k]
-                yield pd.DataFrame({"term": t, "class": own[r], "w": np.round(w * _SCALE).astype(np.int16), "norm": np.floor(np.log2(np.maximum(norm, 1e-3)) * _LOG).astype(np.int16), "rest": np.ceil(rest * 100).astype(np.int8)})
-
-    def side(left: bool, c: str) -> DataFrame:
-        own = of(left).mapInPandas(lambda batches: postings(batches, left), "term long, class long, w smallint, norm smallint, rest tinyint")
-        return own.withColumnsRenamed({"class": c, "w": f"w_{c}", "norm": f"norm_{c}", "rest": f"rest_{c}"})
-
-    a, b = side(True, "left"), side(False, "right")
-    sizes = F.abs(F.col("norm_left") - F.col("norm_right")) <= int(-np.log2(RATIO) * _LOG) + 1
-    met = a.join(b, "term").where(sizes & (F.col("left") != F.col("right")))
-    dot = F.sum(F.col("w_left").cast("long") * F.col("w_right"))
-    sums = met.groupBy("left", "right").agg(dot.alias("dot"), F.max(F.col("norm_left").cast("int") + F.col("norm_right")).alias("norm"), F.max(F.col("rest_left").cast("int") * F.col("rest_right")).alias("rest"))
-    part = F.col("dot") / float(_SCALE * _SCALE) / F.pow(F.lit(2.0), F.col("norm") / float(_LOG))
-    candidates = materialize(sums.where(part + F.col("rest") / 1e4 >= THRESHOLD).select("left", "right"), "candidates")
+            out = []
+            for own, left, (n, head) in zip(batch["class"], batch["is_left"], sent.value.heads(batch["words"].tolist())):
+                if len(head) < asked(least_common(n)):  # too many words that the other side hasn't
+                    continue
+                c, head = cut[left].chunk(n, own), head.tobytes()
+                out += [(int(c * columns + o if left else o * columns + c), left, own, n, head) for o in cut[not left].near(n)]
+            yield pd.DataFrame(out, columns=["task", "is_left", "class", "n", "head"])
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group[group["is_left"]], group[~group["is_left"]]
+        pairs = []
+        if len(a) and len(b):
+            (own_a, n_a), (own_b, n_b) = ((x["class"].to_numpy(), x["n"].to_numpy(np.int64)) for x in (a, b))
+            heads = [[np.frombuffer(h, np.uint32) for h in x["head"]] for x in (a, b)]
+            pairs = [(np.full(len(j), own_a[i]), own_b[j]) for i, j in meetings(n_a, heads[0], n_b, heads[1])]
+        left, right = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+        return pd.DataFrame({"left": left, "right": right})
+
+    met = single.select("class", "is_left", "words").mapInPandas(placed, "task long, is_left boolean, class long, n int, head binary").groupBy("task").applyInPandas(meet, "left long, right long")
+    candidates = materialize(met.where("left <> right").distinct(), "candidates")
     # the words of each class once, then both sides of each candidate
     needed = candidates.select(F.explode(F.array("left", "right")).alias("class")).distinct()
     if candidates.count() <= MAX_SENT:
@@ -319,18 +264,15 @@ def near_pairs(rows: DataFrame, words: DataFrame, exact: Callable[[str, str], bo
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cosine = sent.value.cosines(batch["a"].tolist(), batch["b"].tolist())
-            keep = cosine >= THRESHOLD
-            if exact:
-                keep &= np.fromiter((k and exact(x, y) for k, x, y in zip(keep, batch["a"], batch["b"])), bool, len(batch))
-            yield pd.DataFrame({"left": batch["left"][keep], "right": batch["right"][keep], "cosine": cosine[keep]})
+            keep = np.fromiter((mostly_same(x, y) for x, y in zip(batch["a"], batch["b"])), bool, len(batch))
+            yield batch.loc[keep, ["left", "right"]]
 
-    return both.select("left", "right", "a", "b").mapInPandas(verify, "left long, right long, cosine double")
+    return both.select("left", "right", "a", "b").mapInPandas(verify, "left long, right long")
 
 
-def cross_split_classes(records: DataFrame, key: str, text: str, is_left, exact=mostly_same) -> tuple[DataFrame, DataFrame]:
+def cross_split_classes(records: DataFrame, key: str, text: str, is_left) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, is_left, class) of every record long enough, and links
-    (left, right, cosine) between classes of the two sides, a class linked to itself where it has
+    (left, right) between classes of the two sides, a class linked to itself where it has
     members on both. Copies aren't expanded; join members to either end for pairs of ids.
 
     Null texts and texts under MIN_WORDS words have no row; a null split counts as the right side;
@@ -339,8 +281,8 @@ def cross_split_classes(records: DataFrame, key: str, text: str, is_left, exact=
     rows, words = classes(records, key, text, is_left)
     members = rows.select("id", "is_left", "class").distinct()
     shared = rows.groupBy("class").agg(F.max("is_left").alias("l"), F.min("is_left").alias("r")).where("l AND NOT r")
-    same = shared.select(F.col("class").alias("left"), F.col("class").alias("right"), F.lit(1.0).alias("cosine"))
-    return members, materialize(near_pairs(rows, words, exact).unionByName(same), "links")
+    same = shared.select(F.col("class").alias("left"), F.col("class").alias("right"))
+    return members, materialize(near_pairs(rows, words).unionByName(same), "links")
 
 
 def linked_ids(members: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:

@@ -52,6 +52,26 @@ def test_cross_split_pairs_against_brute_force(spark):
     assert links.count() == 0
 
 
+def _pairs(spark, rows):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "row_id long, text string, split string").repartition(4)
+    members, links = overlap.cross_split_classes(df, "row_id", "text", F.col("split") == "train")
+    return {tuple(r) for r in overlap.linked_ids(members, links, "a", "b").collect()}
+
+
+def test_near_copy_of_a_hot_text(spark):
+    g = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join(g.choice(vocabulary) for _ in range(100)), "train" if i % 2 else "AA_val") for i in range(2000)]
+    hot = [g.choice(vocabulary) for _ in range(100)]
+    copies = range(2000, 2600)
+    rows += [(i, " ".join(hot), "train") for i in copies]
+    changed, shorter = [*hot[:50], "word7" if hot[50] != "word7" else "word8", *hot[51:]], hot[:30] + hot[31:]
+    rows += [(3000, " ".join(changed), "AA_test"), (3001, " ".join(shorter), "AA_test")]
+    assert _pairs(spark, rows) == {(i, j) for i in copies for j in (3000, 3001)}
+
+
 # -- 3 ---------------------------------------------------------------------------------------
 def test_same_look(spark):
     rows = [(1, "café a"), (2, "café а"), (3, "ca​fé a"), (4, "cafe a"), (5, "CAFÉ a"), (6, "m2"), (7, "m²"), (8, None), (9, ""), (10, "​"), (2, "café а"), (11, "ﬁｎe"), (12, "fine"), (13, "fi\nne")]
