@@ -72,6 +72,35 @@ def test_near_copy_of_a_hot_text(spark):
     assert _pairs(spark, rows) == {(i, j) for i in copies for j in (3000, 3001)}
 
 
+@pytest.mark.parametrize("every", [5, 6, 7])
+def test_evenly_spread_edits(spark, every):
+    g = random.Random(every)
+    vocabulary = [f"word{i}" for i in range(300)]
+    texts = [[g.choice(vocabulary) for _ in range(g.choice([45, 60, 100, 210]))] for _ in range(40)]
+    rows = [(2 * i, " ".join(w), "train") for i, w in enumerate(texts)]
+    rows += [(2 * i + 1, " ".join(g.choice(vocabulary) if k % every == every - 1 else x for k, x in enumerate(w)), "AA_test") for i, w in enumerate(texts)]
+    assert _pairs(spark, rows) == {(2 * i, 2 * i + 1) for i in range(len(texts))}
+
+
+def test_heads_keep_every_pair_at_the_bound():
+    g = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    for complete in (True, False):
+        known = vocabulary if complete else vocabulary[::2]
+        order = overlap.Order({w: i for i, w in enumerate(known)}, complete)
+        for _ in range(300):
+            a = [g.choice(vocabulary) for _ in range(g.randrange(10, 90))]
+            drop = set(g.sample(range(len(a)), len(a) // 5))
+            b = [x for i, x in enumerate(a) if i not in drop]  # lacks a fifth
+            c = [g.choice(vocabulary) if i in drop else x for i, x in enumerate(a)]  # a fifth replaced
+            for other in (b, c):
+                assert overlap.mostly_same(" ".join(a), " ".join(other))
+                (n, x), (m, y) = order.heads([" ".join(a), " ".join(other)])
+                for p, q, s, t in ((n, m, x, y), (m, n, y, x)):
+                    met = list(overlap.meetings(np.array([p]), [s], np.array([q]), [t]))
+                    assert len(met) == 1 and list(met[0][1]) == [0]
+
+
 # -- 3 ---------------------------------------------------------------------------------------
 def test_same_look(spark):
     rows = [(1, "café a"), (2, "café а"), (3, "ca​fé a"), (4, "cafe a"), (5, "CAFÉ a"), (6, "m2"), (7, "m²"), (8, None), (9, ""), (10, "​"), (2, "café а"), (11, "ﬁｎe"), (12, "fine"), (13, "fi\nne")]
