@@ -101,6 +101,18 @@ def test_heads_keep_every_pair_at_the_bound():
                     assert len(met) == 1 and list(met[0][1]) == [0]
 
 
+@pytest.mark.parametrize("copies, at", [(300, (20, 50, 80)), (400, (20, 50, 80)), (500, (50,))])
+def test_equal_lengths_whatever_the_rarity(spark, copies, at):
+    g = random.Random(copies)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join(g.choice(vocabulary) for _ in range(100)), "train" if i % 2 else "AA_val") for i in range(2000)]
+    hot = [g.choice(vocabulary) for _ in range(100)]
+    rows += [(2000 + i, " ".join(hot), "train") for i in range(copies)]
+    edited = [g.choice(vocabulary) if k in at else w for k, w in enumerate(hot)]
+    rows.append((3000, " ".join(edited), "AA_test"))
+    assert _pairs(spark, rows) == {(2000 + i, 3000) for i in range(copies)}
+
+
 # -- 3 ---------------------------------------------------------------------------------------
 def test_same_look(spark):
     rows = [(1, "café a"), (2, "café а"), (3, "ca​fé a"), (4, "cafe a"), (5, "CAFÉ a"), (6, "m2"), (7, "m²"), (8, None), (9, ""), (10, "​"), (2, "café а"), (11, "ﬁｎe"), (12, "fine"), (13, "fi\nne")]
