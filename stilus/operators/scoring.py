@@ -29,7 +29,7 @@ def _placed(k: int):
     return lambda e, i: F.struct((i + k).alias("pos"), F.lit(k).alias("k"), e["c"].alias("ctx"), e["h"].alias("ch"))
 
 
-def ppm_counts(df: DataFrame, author: str, text: str, order: int = 3) -> DataFrame:
+def ppm_counts(df: DataFrame, author: str, text: str, order: int = 5) -> DataFrame:
     """(author, k, ctx, ch, n): the model of each author as a flat table of counts."""
     return contexts(df, [author], text, order).groupBy(author, "k", "ctx", "ch").agg(F.count(F.lit(1)).alias("n"))
 
@@ -45,7 +45,7 @@ def subtract_model(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return d.select(*keys, F.when(n < 0, F.raise_error(F.lit("a model can't be taken from a smaller one"))).otherwise(n).cast("long").alias("n")).where("n > 0")
 
 
-def ppm_scores(docs: DataFrame, key: str, text: str, model: DataFrame, author: str, order: int = 3, alphabet: int = 256) -> DataFrame:
+def ppm_scores(docs: DataFrame, key: str, text: str, model: DataFrame, author: str, order: int = 5, alphabet: int = 256) -> DataFrame:
     """(key, author, bits): mean bits per character of each document under each author's model.
 
     Each character takes its probability from the longest context that has seen it, else 1/alphabet.

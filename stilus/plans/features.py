@@ -111,9 +111,26 @@ x AS (SELECT {keys}, CAST(p - 1 AS INTEGER) AS pos, unnest(range(0, least(p - 1,
 SELECT {keys}, pos, CAST(k AS INTEGER) AS k, substr(text, CAST(p - k AS BIGINT), CAST(k AS BIGINT)) AS ctx, substr(text, CAST(p AS BIGINT), 1) AS ch FROM x"""
 
 
+# the twins of ppm_counts and ppm_negate hold contexts of at most 3 characters; those of order 5 are whole
+_PPM_5 = _PPM.replace("least(p - 1, 3)", "least(p - 1, 5)")
+
+
+def _ppm_model(s, d, order):
+    return m.ppm_counts(table(s, d, "aa_texts").where("text IS NOT NULL").select("source", "text"), "source", "text", order)
+
+
+def _ppm_counts(s, d, order):
+    return _ppm_model(s, d, order).select("source", "k", F.md5("ctx").alias("ctx_md5"), F.md5("ch").alias("ch_md5"), "n")
+
+
 @query("SELECT source, k, md5(ctx) AS ctx_md5, md5(ch) AS ch_md5, count(*) AS n FROM (" + _PPM.format(keys="source", src="SELECT source, text FROM aa_texts WHERE text IS NOT NULL") + ") GROUP BY source, k, ctx, ch")
 def ppm_counts(s, d):
-    return m.ppm_counts(table(s, d, "aa_texts").where("text IS NOT NULL").select("source", "text"), "source", "text").select("source", "k", F.md5("ctx").alias("ctx_md5"), F.md5("ch").alias("ch_md5"), "n")
+    return _ppm_counts(s, d, 3)
+
+
+@query("SELECT source, k, md5(ctx) AS ctx_md5, md5(ch) AS ch_md5, count(*) AS n FROM (" + _PPM_5.format(keys="source", src="SELECT source, text FROM aa_texts WHERE text IS NOT NULL") + ") GROUP BY source, k, ctx, ch")
+def ppm_counts_order5(s, d):
+    return _ppm_counts(s, d, 5)
 
 
 def _ppm(s, d):
@@ -132,14 +149,23 @@ def ppm_attribution(s, d):
     return m.attribute(_ppm(s, d), "row_id", "source", "bits")
 
 
-@query("SELECT k, md5(ctx) AS ctx_md5, md5(ch) AS ch_md5, count(*) AS n FROM (" + _PPM.format(keys="source", src="SELECT source, text FROM aa_texts WHERE text IS NOT NULL") + ") WHERE source <> 'imdb62' GROUP BY k, ctx, ch")
-def ppm_negate(s, d):
-    model, keys = m.ppm_counts(table(s, d, "aa_texts").where("text IS NOT NULL").select("source", "text"), "source", "text"), ["k", "ctx", "ch"]
+def _ppm_negate(s, d, order):
+    model, keys = _ppm_model(s, d, order), ["k", "ctx", "ch"]
     whole = model.groupBy(*keys).agg(F.sum("n").alias("n"))
     one = model.where("source = 'imdb62'").select(*keys, "n")
     return m.subtract_model(whole, one, keys).select("k", F.md5("ctx").alias("ctx_md5"), F.md5("ch").alias("ch_md5"), "n")
 
 
+@query("SELECT k, md5(ctx) AS ctx_md5, md5(ch) AS ch_md5, count(*) AS n FROM (" + _PPM.format(keys="source", src="SELECT source, text FROM aa_texts WHERE text IS NOT NULL") + ") WHERE source <> 'imdb62' GROUP BY k, ctx, ch")
+def ppm_negate(s, d):
+    return _ppm_negate(s, d, 3)
+
+
+@query("SELECT k, md5(ctx) AS ctx_md5, md5(ch) AS ch_md5, count(*) AS n FROM (" + _PPM_5.format(keys="source", src="SELECT source, text FROM aa_texts WHERE text IS NOT NULL") + ") WHERE source <> 'imdb62' GROUP BY k, ctx, ch")
+def ppm_negate_order5(s, d):
+    return _ppm_negate(s, d, 5)
+
+
 _D = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - r.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - r.embedding[i]::DOUBLE))))"
 _KNN = f"SELECT query, vec_id, distance, rank FROM (SELECT q.vec_id AS query, r.vec_id, round({_D}, 9) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_D}, 9), r.vec_id) AS rank FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 5"
 

@@ -74,6 +74,16 @@ def test_ppm_fixture(spark):
     assert math.isclose(got[1], 0.5) and math.isclose(got[2], 8.0) and 3 not in got
 
 
+def test_ppm_default_order(spark):
+    df = spark.createDataFrame([("A", "abcdefg")], "author string, text string")
+    model = m.ppm_counts(df, "author", "text")
+    assert {r["ctx"] for r in model.where("k = 5").collect()} == {"abcde", "bcdef"} and model.agg({"k": "max"}).first()[0] == 5
+    # after "xabcd" or "yabcd" only the first character of the context tells what follows
+    model = m.ppm_counts(spark.createDataFrame([("A", "xabcd1 yabcd2")], "author string, text string"), "author", "text")
+    got = m.ppm_scores(spark.createDataFrame([(1, "yabcd2")], "doc int, text string"), "doc", "text", model, "author").first()["bits"]
+    assert math.isclose(got, math.log2(13) / 6)
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = [(1, 'a "quoted", text'), (2, "two\nlines"), (3, "back\\slash\""), (4, ""), (5, "null"), (6, " blanks ")]
     path = str(tmp_path / "aa")
