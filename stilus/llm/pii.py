@@ -89,6 +89,7 @@ _titles = "|".join(sorted(TITLES, key=len, reverse=True))
 _SURNAME = rf"((?:(?:van|von|de|della|del|der|den|di|du|la|le|mc|mac|o['’])\s?)*{_W}[^\W\d_’']{{2,}}(?:['’-]{_W}{{2,}})*)"
 NAME = re.compile(rf"(?<![\w@.+-])(?:(?:(?:{_titles})\.?\s+)*(?:{_given})(?:-(?:{_given}))?\s+(?:{_W}\.\s*|(?:{_given})\s+)*|(?:(?:{_titles})\.?|m\.)\s+(?:{_W}\.\s*)?){_SURNAME}(?![\w@])", re.I)
 _STARTS = frozenset(GIVEN_NAMES) | frozenset(TITLES) | {"m"}
+_LETTERS = re.compile(rf"{_W}+")
 
 _COMPOUND = re.compile(rf"{_W}{{3,}}(?:str(?:aße|asse|\.)|weg|gasse|platz|allee|ufer|damm|ring|steig|pfad|chaussee)\s+\d", re.I)
 _STREET_WORDS = frozenset(
@@ -106,14 +107,16 @@ _DIGIT_WORDS = {
 }
 _digit_word = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:(?:{_digit_word})(?:[\s,.-]+|$)){{6,}}(?:(?:{_digit_word})(?!\w))?|(?<!\w)(?:(?:{_digit_word})[\s,.-]+){{6,}}(?:{_digit_word})(?!\w)", re.I)
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punto|punkt|point|ponto|\.)\s*[\])}>]\s*|\s+(?:dot|punto|punkt|point|ponto)\s+)"
-_AT = r"(?:\s*[\[({<]\s*(?:at|a|arroba|ät|chez|@)\s*[\])}>]\s*|\s+(?:arroba|ät|@)\s+|@)"
+_DOT_BARE, _AT_BARE = "dot|punto|punkt|point|ponto", "arroba|ät|@"
+_DOT_IN, _AT_IN = rf"{_DOT_BARE}|\.", rf"{_AT_BARE}|at|a|chez"  # in brackets
+_DOT = rf"(?:\s*[\[({{<]\s*(?:{_DOT_IN})\s*[\])}}>]\s*|\s+(?:{_DOT_BARE})\s+)"
+_AT = rf"(?:\s*[\[({{<]\s*(?:{_AT_IN})\s*[\])}}>]\s*|\s+(?:{_AT_BARE})\s+|@)"
 _PART = r"[A-Za-z0-9](?:[A-Za-z0-9_+%-]*[A-Za-z0-9])?"
 _LOCAL, _DOMAIN = rf"(?<![\w.+%-]){_PART}(?:(?:\.|{_DOT}){_PART}){{0,4}}", r"[A-Za-z0-9-]+"
 DISGUISED = re.compile(rf"{_LOCAL}{_AT}{_DOMAIN}(?:(?:\.|{_DOT}){_DOMAIN}){{1,4}}", re.I)
 #: A bare "at" counts only before a spelled dot.
 LOOSE = re.compile(rf"{_LOCAL}\s+at\s+({_DOMAIN})(?:\.{_DOMAIN}){{0,3}}{_DOT}{_DOMAIN}(?:(?:\.|{_DOT}){_DOMAIN}){{0,3}}", re.I)
-_TRIGGER = re.compile(r"[\[({<]\s*(?:at|a|arroba|ät|dot|@|\.)\s*[\])}>]|\s(?:dot|arroba|punto|punkt|point|ponto|@)\s", re.I)
+_TRIGGER = re.compile(rf"[\[({{<]\s*(?:{_AT_IN}|{_DOT_IN})\s*[\])}}>]|\s(?:{_AT_BARE}|{_DOT_BARE})\s", re.I)
 _ANY_DOT, _ANY_AT = re.compile(_DOT, re.I), re.compile(rf"{_AT}|\s+at\s+", re.I)
 _HIDDEN = re.compile("[" + re.escape(INVISIBLE + "".join(LIGATURES)) + "̀-ͯ]")
 _WIDE = re.compile(r" {2,}")
@@ -233,8 +236,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
             claim(*m.span(1), "id_number")
         for m in PHONE.finditer(s):
             claim(*m.span(), "phone")
-    words = {w.strip("\"'(<*_.,;:").lower() for w in s.split()}
-    if not _STARTS.isdisjoint(words):
+    # letters are folded as re.I matches them
+    if not _STARTS.isdisjoint(_LETTERS.findall(s.casefold().replace("ı", "i").replace("i̇", "i"))):
         for m in NAME.finditer(s):
             if _is_name(m):
                 claim(*m.span(), "person_name")

@@ -166,6 +166,20 @@ def test_redact_table(spark):
     assert sorted(map(tuple, pii.kinds_found(df, "post_id", "text", "text").collect())) == [("text", 2, "email")]
 
 
+@pytest.mark.parametrize("text", ["marie (chez) exemple (point) fr", "marie [chez] exemple.fr", "hans ät firma.de", "juan at ejemplo (punto) es", "juan@ejemplo (punto) es"])
+def test_disguises_pass_the_check_before_them(text):
+    assert pii.redact(text) == ("[EMAIL]", ["email"])
+
+
+@pytest.mark.parametrize("text", ["Jean-Pierre Dupont was here", "so “Peter Miller said", "[Peter Miller]", "she/Peter Miller", "«Anna Schmidt»"])
+def test_names_pass_the_check_before_them(text):
+    assert pii.redact(text)[1] == ["person_name"]
+
+
+def test_name_starts_are_letters():
+    assert all(pii._LETTERS.fullmatch(w) and w == w.casefold() for w in pii._STARTS)
+
+
 # -- 6 ---------------------------------------------------------------------------------------
 def test_abuse_gradient_and_fit(spark):
     net = abuse.Classifier()
