@@ -140,6 +140,11 @@ def split_positional(s, d):
     return c.positional_split(_aa(s, d), (("train", 60), ("val", 80)))
 
 
+@query(f"SELECT author, seq, CASE WHEN no <= 600 THEN 'train' WHEN no <= 800 THEN 'val' ELSE 'test' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY seq) AS no FROM ({AA}))")
+def split_positional_600_800(s, d):
+    return c.positional_split(_aa(s, d))
+
+
 @query(f"SELECT author, seq, CASE WHEN n < 2 OR (rank - 1) * 10 < n * 8 THEN 'train' ELSE 'val' END AS part FROM ({_RANK} ({DEDUP}))")
 def split_forced_train(s, d):
     return c.forced_train_split(c.dedup_per_author(_aa(s, d)))

@@ -84,6 +84,15 @@ def test_ppm_default_order(spark):
     assert math.isclose(got, math.log2(13) / 6)
 
 
+def test_positional_split_of_the_reference(spark, tmp_path):
+    from stilus.plans import corpus
+
+    rows = [(i, 1, f"text {i}", "train", "imdb62") for i in range(805)] + [(2000 + i, 2, f"other {i}", "train", "imdb62") for i in range(601)]
+    spark.createDataFrame(rows, "row_id long, labels int, text string, split string, source string").coalesce(1).write.parquet(str(tmp_path / "aa_texts.parquet"))
+    got = corpus.QUERIES["split_positional_600_800"](spark, str(tmp_path)).groupBy("author", "part").count().collect()
+    assert {tuple(r) for r in got} == {(1, "train", 600), (1, "val", 200), (1, "test", 5), (2, "train", 600), (2, "val", 1)}
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = [(1, 'a "quoted", text'), (2, "two\nlines"), (3, "back\\slash\""), (4, ""), (5, "null"), (6, " blanks ")]
     path = str(tmp_path / "aa")
