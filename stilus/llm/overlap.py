@@ -1,28 +1,30 @@
-"""The same or nearly the same records across splits (problem 1): an exact join by word order.
+"""The same or nearly the same records across splits (problem 1): a weighted cosine join.
 
 A pair counts if at least 80 % of the words of the longer text stand in the other in the same order.
-So the two have at least t = 80 % of the longer one's words in common, and every filter here follows
-from that alone:
-
-- lengths: 5 words of the shorter for 4 of the longer;
-- words: put the words of all texts in one order, rare before common, a word's repetitions in a text
-  as words of their own. A text of n words lacks at most n - 80 % of n of the common ones, so the
-  first m common words in that order lie among its first n - 80 % of n + m, in both texts. With m of
-  `asked`, a pair whose heads share fewer than m words is none.
-
-Words found on one side only stand first in the order: they use up a text's head and meet nothing.
-The order touches the cost alone. Texts of a side are cut by length into chunks; each pair of chunks
-of near lengths is one group of rows, in which the shared words of all heads are counted. Pairs that
-pass are decided by the exact condition on their two word sequences.
+A text is a vector over words, a word weighing as often as it occurs, and a vector over its runs of
+two words. From the condition alone follow, for two texts of m <= n words and L = 80 % of n:
+
+- lengths: m >= L, which bounds the weight one text can add to the other;
+- words: the dot product is at least L, so the norm of the difference is at most m + n - 2 L;
+- runs: the L common words break at most m + n - 2 L times, so at least `shared_runs` runs of two
+  stand in both at places that the common order pairs. Put the runs in one order, rare before common:
+  once the rest of a text's runs is smaller than that number, the rest alone can't make a pair, so
+  only the runs before it enter the inverted lists (the residual of the vector isn't indexed);
+- places: paired words have moved by no more than the words that either text may lack.
+
+Texts of the two sides that meet in a list pass these bounds in turn; the norm of the difference is
+bounded from below by the differing bits of two parity sketches. Then come the exact dot product of
+the words and the exact common order. No bound is a guess: no pair of the condition is lost,
+whatever the counts, which touch the order of the runs and so the cost alone.
 
 Copies of one text are one class throughout; ids come back only at the end.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,15 +35,18 @@ from stilus.llm.lookalike import words_text
 from stilus.session import materialize
 
 MIN_WORDS = 10
-#: Texts of a side in one group of rows. Every text goes to each chunk of the other side whose lengths
-#: are near: larger chunks mean fewer copies and fewer, larger tasks.
-CHUNK = 1 << 15
-#: Bound of the word table sent to every task. Words beyond it count as rare and as found on both
-#: sides, which costs longer heads but loses nothing.
-MAX_WORDS = 1 << 18
-#: Class ids are sent to every task up to this many candidates; beyond it they are joined by shuffle.
+#: Slots of the table of run counts, one byte each where it is sent to every task: a fixed size.
+#: Runs that share a slot share a place in the order, which costs time and loses nothing.
+SLOTS, BLOCK = 1 << 22, 1 << 16
+#: Entries of the inverted lists in one group of rows, and the count from which a run's list is split.
+POSTINGS, HOT = 4_000_000, 1 << 17
+#: Bits of a sketch.
+SKETCH = 256
+#: Class ids are sent to every task up to this many; beyond it they are joined by shuffle.
 MAX_SENT = 1_000_000
-_ROWS = 1 << 13
+#: Ids of a class expanded by one row of work at most.
+EXPAND = 1000
+_ROWS, _CELLS = 1 << 13, 1 << 22
 
 
 def least_common(n):
@@ -49,111 +54,211 @@ def least_common(n):
     return -(-4 * n // 5)
 
 
-def asked(n):
-    """Shared words asked of the heads of two texts, the shorter of n words; never above 80 % of n."""
-    return np.minimum(n // 5 + 4, least_common(n))
+def shared_runs(n):
+    """Runs of two words that a text of n words shares with any text it makes a pair with, at least:
+    the smallest of 3 L - m - n - 1, found where the other text is as long or one word longer."""
+    return np.minimum(3 * least_common(n) - 2 * n - 1, 3 * least_common(n + 1) - 2 * n - 2)
+
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
-def _outside(word: str) -> int:
-    """A fixed number far beyond the table for a word outside it."""
-    h = 14695981039346656037
-    for b in word.encode():
-        h = ((h ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return (h >> 2) | (1 << 61)
 
+class _Codes(dict):
+    """Word to a fixed number; equal numbers of different words can only add candidates."""
 
-@dataclass
-class Order:
-    """The order of words: the place of each word found on both sides, rare before common. `complete`:
-    a word without a place is found on one side only."""
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.encode("utf-8", "replace"))
+        if len(self) < 1_000_000:
+            self[word] = h
+        return h
 
-    place: dict[str, int]
-    complete: bool
 
-    def heads(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
-        """(number of words, numbers of the words in the head that may be shared) of each text."""
-        return [h for lo in range(0, len(texts), _ROWS) for h in self._heads(texts[lo : lo + _ROWS])]
+class Runs:
+    """The runs of two words of a batch of texts. n: words of each text; per run its text `row`, its
+    place `at` and its number `run`; words: the number of each word, `word_row` its text."""
 
-    def _heads(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-        get = self.place.get
+    def __init__(self, texts: list[str], codes: _Codes):
         flat: list[int] = []
         lengths = []
+        get = codes.__getitem__
         for t in texts:
-            words = t.split(" ")
-            ids = [get(w, -1) for w in words]
-            if not self.complete and -1 in ids:
-                ids = [i if i >= 0 else -_outside(w) for i, w in zip(ids, words)]
-            flat += ids
-            lengths.append(len(ids))
-        n, place = np.array(lengths, np.int64), np.array(flat, np.int64)
-        row = np.repeat(np.arange(len(texts)), n)
-        place = place[np.lexsort((place, row))]
-        first = np.cumsum(n) - n
-        at = np.arange(len(row))
-        new = np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
-        repeat = at - np.maximum.accumulate(np.where(new, at, 0))
-        keep = (at - first[row] < (n - least_common(n) + asked(n))[row]) & (place != -1)
-        # equal numbers of different words can only add to what is shared
-        h = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + repeat.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-        h = ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
-        return zip(lengths, np.split(h[keep].astype(np.uint32), np.cumsum(np.bincount(row[keep], minlength=len(texts)))[:-1]))
-
-
-@dataclass
-class Chunks:
-    """The texts of a side cut by length: chunk c holds lengths low[c] to high[c], `parts` chunks in a
-    row the same ones."""
-
-    low: np.ndarray
-    high: np.ndarray
-    parts: np.ndarray
+            w = t.split(" ")
+            flat += map(get, w)
+            lengths.append(len(w))
+        self.n = np.array(lengths, np.int64)
+        self.words = _mixed(np.array(flat, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        self.word_row = np.repeat(np.arange(len(texts)), self.n)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        first = np.flatnonzero(at < self.n[self.word_row] - 1) if len(flat) else np.zeros(0, np.int64)
+        self.row, self.at = self.word_row[first], at[first]
+        self.run = _mixed(self.words[first] * np.uint64(0xBF58476D1CE4E5B9) + self.words[first + 1]) if len(first) else np.zeros(0, np.uint64)
+
+    def slots(self) -> np.ndarray:
+        return (self.run >> np.uint64(42)).astype(np.int64)
+
+    def sketches(self) -> np.ndarray:
+        """(texts, SKETCH / 64): which of SKETCH groups of words hold an odd number of the text's."""
+        cell = self.word_row * SKETCH + (self.words % np.uint64(SKETCH)).astype(np.int64)
+        odd = np.bincount(cell, minlength=len(self.n) * SKETCH).astype(np.uint8) & 1
+        return np.packbits(odd.reshape(len(self.n), SKETCH), axis=1).view(np.uint64)
+
+    def indexed(self, place: np.ndarray) -> np.ndarray:
+        """Numbers of the runs that enter the lists, by text. place: per slot the runs' place in the
+        order, 0 for runs of one side only, which come first and meet nothing."""
+        order_of = place[self.slots()]
+        key = (self.row.astype(np.uint64) << np.uint64(50)) | (order_of.astype(np.uint64) << np.uint64(42)) | (self.run >> np.uint64(22))
+        order = np.argsort(key)
+        row = self.row[order]
+        runs = np.maximum(self.n - 1, 0)
+        first = np.cumsum(runs) - runs
+        last = np.maximum(runs - np.maximum(shared_runs(self.n), 1), 0)  # the last run before the residual
+        key = key[order]
+        # all of the last run's repetitions are taken, so that the paired one is among them
+        end = key[np.minimum(first + last, len(key) - 1)]
+        return order[(key <= end[row]) & (order_of[order] > 0)]
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return b"".join(a.tobytes() for a in arrays)
+
+
+class Postings:
+    """A part of the inverted lists: texts (class, words, side, sketch) and entries (run, text, place)."""
+
+    def __init__(self, own, n, left, sketch, run, text, at):
+        self.own, self.n, self.left, self.sketch, self.run, self.text, self.at = own, n, left, sketch, run, text, at
+
+    def to_bytes(self) -> bytes:
+        size = np.array([len(self.own), len(self.run)], np.int64)
+        per = np.bincount(self.text, minlength=len(self.own)).astype(np.uint32)  # entries are by text
+        at = self.at.astype(np.uint32)
+        return _pack(size, self.own, (self.n * 2 + self.left).astype(np.uint32), self.sketch, per, self.run, at.astype(np.uint16), (at >> np.uint32(16)).astype(np.uint16))
 
     @staticmethod
-    def of(sizes: list[tuple[int, int]]) -> Chunks:
-        """From pairs (length, number of texts)."""
-        cut: list[list[int]] = []
-        for n, count in sorted(sizes):
-            if cut and cut[-1][2] + count <= CHUNK:
-                cut[-1][1], cut[-1][2] = n, cut[-1][2] + count
-            else:
-                cut.append([n, n, count])
-        rows = [(lo, hi, -(-count // CHUNK)) for lo, hi, count in cut]
-        low, high, parts = (np.array([r[i] for r in rows for _ in range(r[2])], np.int64) for i in range(3))
-        return Chunks(low, high, parts)
-
-    def chunk(self, n: int, number: int) -> int:
-        c = int(np.searchsorted(self.high, n))
-        return c + number % int(self.parts[c])
-
-    def near(self, n: int) -> np.ndarray:
-        """Chunks with texts that may fit one of n words."""
-        return np.flatnonzero((5 * n >= 4 * self.low) & (5 * self.high >= 4 * n))
-
-
-def meetings(n_a: np.ndarray, heads_a: list[np.ndarray], n_b: np.ndarray, heads_b: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(a, its b): for each text of one side the texts of the other of near length whose head shares
-    as many words with its head as are asked."""
-    by_length = np.argsort(n_b, kind="stable")
-    n_b = n_b[by_length]
-    tokens = np.concatenate([heads_b[i] for i in by_length])
-    text = np.repeat(np.arange(len(n_b)), [len(heads_b[i]) for i in by_length])
-    order = np.argsort(tokens, kind="stable")
-    text = text[order]
-    known, number = np.unique(tokens[order], return_inverse=True)
-    lists = number * len(n_b) + text  # ascending: by word, then by length
-    for a, (n, head) in enumerate(zip(n_a, heads_a)):
-        lo, hi = np.searchsorted(n_b, least_common(n)), np.searchsorted(n_b, 5 * n // 4, "right")
-        if lo == hi or not len(head) or not len(known):
+    def of(blobs: list[bytes]) -> Postings:
+        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+        begin = 0
+        for b in blobs:
+            texts, entries = np.frombuffer(b, np.int64, 2)
+            at = 16
+            own = []
+            for kind, count in ((np.int64, texts), (np.uint32, texts), (np.uint64, texts * SKETCH // 64), (np.uint32, texts), (np.uint32, entries), (np.uint16, entries), (np.uint16, entries)):
+                own.append(np.frombuffer(b, kind, int(count), at))
+                at += int(count) * np.dtype(kind).itemsize
+            parts[0].append(own[0])
+            parts[1].append(own[1])
+            parts[2].append(own[2].reshape(-1, SKETCH // 64))
+            parts[3].append(own[4])
+            parts[4].append(np.repeat(np.arange(begin, begin + texts, dtype=np.int32), own[3]))
+            parts[5].append(own[5] | own[6].astype(np.uint32) << np.uint32(16))
+            begin += int(texts)
+        own, meta, sketch, run, text, at = (np.concatenate(p) for p in parts)
+        return Postings(own, (meta >> np.uint32(1)).astype(np.int32), (meta & np.uint32(1)).astype(bool), sketch, run, text, at.astype(np.int32))
+
+    def one_per_class(self) -> Postings:
+        """Of the copies of a text on a side, one takes part; its class id stays."""
+        order = np.lexsort((self.own, self.left))
+        new = np.concatenate([[True], (np.diff(self.own[order]) != 0) | (np.diff(self.left[order]) != 0)])
+        keep = np.zeros(len(self.own), bool)
+        keep[order[new]] = True
+        inside = keep[self.text]
+        return Postings(self.own, self.n, self.left, self.sketch, self.run[inside], self.text[inside], self.at[inside])
+
+
+def _close(p: Postings, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) of texts whose words can be near enough, by length and sketch."""
+    na, nb = p.n[a], p.n[b]
+    least = least_common(np.maximum(na, nb))
+    keep = np.flatnonzero((np.minimum(na, nb) >= least) & (p.own[a] != p.own[b]))
+    a, b, most = a[keep], b[keep], (na + nb - 2 * least)[keep]
+    differ = np.zeros(len(a), np.int32)
+    for k in range(p.sketch.shape[1]):
+        word = p.sketch[:, k]
+        differ = differ + np.bitwise_count(word[a] ^ word[b])
+        keep = np.flatnonzero(differ <= most)
+        a, b, most, differ = a[keep], b[keep], most[keep], differ[keep]
+    return a, b
+
+
+def meetings(p: Postings) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left text, right text) that meet in a list and pass the bounds, each once."""
+    found: list[np.ndarray] = []
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        a, b = _close(p, a, b)
+        if len(a):
+            found.append(np.unique(a.astype(np.int64) << 32 | b))
+
+    side = p.left[p.text]
+    lists = []
+    for own in (side, ~side):
+        i = np.flatnonzero(own)
+        key = p.run[i].astype(np.uint64) << np.uint64(31) | p.n[p.text[i]].astype(np.uint64)
+        order = np.argsort(key)
+        lists.append((key[order], p.text[i[order]], p.at[i[order]]))
+    (lkey, ltext, lat), (rkey, rtext, rat) = lists
+    if not len(lkey) or not len(rkey):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = p.n[ltext].astype(np.int64)
+    base = lkey >> np.uint64(31) << np.uint64(31)
+    lo = np.searchsorted(rkey, base | least_common(n).astype(np.uint64))
+    hi = np.searchsorted(rkey, base | (5 * n // 4).astype(np.uint64), "right")
+    # what the places allow: -(n_a - L) <= place_b - place_a <= n_b - L
+    nl, nr = p.n[ltext], p.n[rtext]
+    cl, cr = least_common(nl), least_common(nr)
+    small = max(int(p.n.max(initial=0)), int(p.at.max(initial=0))) < 1 << 13
+    kind = np.int16 if small else np.int32
+    cl_, cr_, la, ra, lb, rb = (x.astype(kind) for x in (cl, cr, lat - nl, rat - nr, lat, rat))
+
+    # lists where many meet: blocks of one side against the stretch of the other of near length
+    starts = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))
+    ends = np.append(starts[1:], len(base))
+    total = np.add.reduceat(hi - lo, starts)
+    dense = (total >= 4096) & (total >= 16 * (ends - starts))
+    flat = np.ones(len(base), bool)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    for s, e in zip(starts[dense].tolist(), ends[dense].tolist()):
+        flat[s:e] = False
+        for x in range(s, e, 64):
+            y = min(x + 64, e)
+            begin, stop = int(lo[x]), int(hi[y - 1])
+            for u in range(begin, stop, _CELLS // 64):
+                v = min(u + _CELLS // 64, stop)
+                least = np.maximum(cl_[x:y, None], cr_[None, u:v])
+                # rb - rn + L <= lb and lb - ln + L <= rb
+                ok = (least + ra[None, u:v]) <= lb[x:y, None]
+                ok &= (least + la[x:y, None]) <= rb[None, u:v]
+                hit = np.flatnonzero(ok)
+                if len(hit):
+                    i, j = np.divmod(hit, v - u)
+                    waiting.append((ltext[x + i], rtext[u + j]))
+                    held += len(hit)
+            if held > _CELLS:
+                take(*(np.concatenate(z) for z in zip(*waiting)))
+                waiting, held = [], 0
+    if waiting:
+        take(*(np.concatenate(z) for z in zip(*waiting)))
+    # the others: every entry against its own stretch
+    one = np.flatnonzero(flat & (hi > lo))
+    count = (hi - lo)[one]
+    step = np.cumsum(count)
+    cuts = np.searchsorted(step, np.arange(_CELLS, int(step[-1]) + _CELLS, _CELLS)) if len(step) else []
+    begin = 0
+    for c in cuts:
+        i, k = one[begin : c + 1], count[begin : c + 1]
+        begin = c + 1
+        if not len(i):
             continue
-        k = np.minimum(np.searchsorted(known, head), len(known) - 1)
-        k = k[known[k] == head] * len(n_b)
-        inside = [text[x:y] for x, y in zip(np.searchsorted(lists, k + lo), np.searchsorted(lists, k + hi)) if x < y]
-        if len(inside) >= asked(least_common(n)):
-            shared = np.bincount(np.concatenate(inside), minlength=len(n_b))[lo:hi]
-            hit = np.flatnonzero(shared >= asked(least_common(n)))  # the least asked of any partner first
-            hit = hit[shared[hit] >= asked(np.minimum(n_b[lo + hit], n))]
-            if len(hit):
-                yield a, by_length[lo + hit]
+        a = np.repeat(i, k)
+        b = np.repeat(lo[i] - (np.cumsum(k) - k), k) + np.arange(len(a))
+        least = np.maximum(cl_[a], cr_[b])
+        ok = np.flatnonzero(((least + ra[b]) <= lb[a]) & ((least + la[a]) <= rb[b]))
+        take(ltext[a[ok]], rtext[b[ok]])
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return pairs >> 32, pairs & 0xFFFFFFFF
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -171,96 +276,137 @@ def common_words(a: list[str], b: list[str]) -> int:
 def mostly_same(a: str, b: str, share: float = 0.8) -> bool:
     """At least `share` of the words of the longer text stand in the other in the same order."""
     x, y = a.split(" "), b.split(" ")
-    longest = max(len(x), len(y))
-    return min(len(x), len(y)) >= share * longest and common_words(x, y) >= share * longest
-
-
-def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
-    """The rows of `counts` (written; its column n is a count) with the largest n, at most `most` of
-    them: the cut falls between two values of n, so equal rows share their fate."""
-    sizes = counts.groupBy("n").count().orderBy(F.desc("n")).toArrow().to_pandas()
-    inside = sizes[sizes["count"].cumsum() <= most]
-    if not len(inside):
-        return counts.limit(0).toArrow().to_pandas()
-    return counts.where(F.col("n") >= int(inside["n"].min())).toArrow().to_pandas()
-
-
-def _order(words: DataFrame) -> Order:
-    words = materialize(words.groupBy("word").agg(F.sum("l").alias("l"), F.sum("r").alias("r")), "words")
-    both = _most_frequent(words.where("l > 0 AND r > 0").select("word", (F.col("l") + F.col("r")).alias("n")), MAX_WORDS)
-    complete = len(both) == words.where("l > 0 AND r > 0").count()
-    return Order({w: i for i, w in enumerate(both.sort_values(["n", "word"])["word"])}, complete)
+    least = share * max(len(x), len(y))
+    if min(len(x), len(y)) < least:
+        return False
+    counts = Counter(x)
+    if sum(min(k, counts[w]) for w, k in Counter(y).items() if w in counts) < least:  # the dot product
+        return False
+    return common_words(x, y) >= least
 
 
 def classes(records: DataFrame, key: str, text: str, is_left, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(rows, words), written: rows (id, is_left, class, words) of the records of at least min_words
-    words, where equal words are an equal class; and partial counts (word, l, r) of these rows' words
+    """(rows, counts), written: rows (id, is_left, class, words) of the records of at least min_words
+    words, where equal words are an equal class; and partial counts (block, blob) of these rows' runs
     on the two sides, taken while the texts are at hand."""
     rows = records.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.coalesce(is_left, F.lit(False)).alias("is_left"), F.col(text).alias("words"))
 
-    def counts(sides) -> pd.DataFrame:
-        parts = [pd.DataFrame({"word": list(c), "l": [n * left for n in c.values()], "r": [n * (1 - left) for n in c.values()]}) for left, c in enumerate(sides)]
-        return pd.concat(parts, ignore_index=True).astype({"word": object}).assign(id=None, is_left=None, words=None)[["id", "is_left", "words", "word", "l", "r"]]
-
     def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sides = (Counter(), Counter())
+        codes, counts = _Codes(), None
         for batch in batches:
             batch["words"] = [words_text(t) for t in batch["words"]]
-            batch = batch[[w.count(" ") >= min_words - 1 for w in batch["words"]]]
-            for t, left in zip(batch["words"], batch["is_left"]):
-                sides[left].update(t.split(" "))
-            yield batch.assign(word=None, l=0, r=0)
-            if len(sides[0]) + len(sides[1]) > 500_000:
-                yield counts(sides)
-                sides = (Counter(), Counter())
-        yield counts(sides)
-
-    schema = f"id {dict(rows.dtypes)['id']}, is_left boolean, words string, word string, l long, r long"
+            batch = batch[[w.count(" ") >= min_words - 1 for w in batch["words"]]].reset_index(drop=True)
+            if not len(batch):
+                continue
+            counts = np.zeros((2, SLOTS), np.uint32) if counts is None else counts
+            left = batch["is_left"].to_numpy(bool)
+            for lo in range(0, len(batch), _ROWS):
+                runs = Runs(batch["words"].iloc[lo : lo + _ROWS].tolist(), codes)
+                slot, own = runs.slots(), left[lo : lo + _ROWS][runs.row]
+                for side in (0, 1):
+                    s = slot[own == side]
+                    if len(s) > SLOTS // 8:
+                        counts[side] += np.bincount(s, minlength=SLOTS).astype(np.uint32)
+                    else:
+                        np.add.at(counts[side], s, np.uint32(1))
+            yield batch.assign(block=-1, blob=None)
+        if counts is not None:
+            small = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(2, -1, BLOCK).transpose(1, 0, 2)
+            for block in np.flatnonzero(small.any(axis=(1, 2))):
+                yield pd.DataFrame({"id": [None], "is_left": [None], "words": [None], "block": [int(block)], "blob": [zlib.compress(small[block].tobytes(), 1)]})
+
+    schema = f"id {dict(rows.dtypes)['id']}, is_left boolean, words string, block int, blob binary"
     both = materialize(rows.mapInPandas(normal, schema).withColumn("class", F.xxhash64("words")), "classes")
-    return both.where("word IS NULL").select("id", "is_left", "class", "words"), both.where("word IS NOT NULL").select("word", "l", "r")
+    return both.where("block < 0").select("id", "is_left", "class", "words"), both.where("block >= 0").select("block", "blob")
 
 
-def near_pairs(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """(left, right): all pairs of different classes of the two sides that are mostly the same.
-    rows, words: as from `classes`."""
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(_order(words))
+def _places(counts: DataFrame) -> tuple[np.ndarray, int]:
+    """(per slot the place of its runs in the order, all runs): a byte, growing with the count; 0 for
+    runs found on one side only."""
 
-    # of the copies of a text on a side, one takes part
-    copied = materialize(rows.groupBy("class", "is_left").agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copied")
-    single = rows.join(F.broadcast(copied) if copied.count() <= MAX_SENT else copied, ["class", "is_left"], "left").where("one IS NULL OR id = one")
-    sizes = single.groupBy("is_left", F.size(F.split("words", " ")).alias("n")).count().collect()
-    cut = {left: Chunks.of([(r["n"], r["count"]) for r in sizes if r["is_left"] == left]) for left in (True, False)}
-    columns = len(cut[False].low)
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((2, BLOCK), np.int64)
+        for b in group["blob"]:
+            total += np.frombuffer(zlib.decompress(b), np.uint16).reshape(2, BLOCK)
+        place = np.where(total.min(axis=0) > 0, np.minimum(1 + 8 * np.log2(np.maximum(total.sum(axis=0), 1)), 255), 0)
+        return pd.DataFrame({"block": group["block"].iloc[:1], "place": [zlib.compress(place.astype(np.uint8).tobytes(), 1)], "n": [int(total.sum())]})
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = counts.groupBy("block").applyInPandas(add, "block int, place binary, n long").collect()
+    out = np.zeros((SLOTS // BLOCK, BLOCK), np.uint8)
+    for r in rows:
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["place"]), np.uint8)
+    return out.ravel(), sum(r["n"] for r in rows)
+
+
+def _group_count(spark, runs: int) -> int:
+    """Groups of the inverted lists: as many as their size asks for; of a small input as many as run
+    side by side."""
+    return max(1, -(-runs // POSTINGS), min(spark.sparkContext.defaultParallelism, runs // 250_000))
+
+
+def candidates(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(left, right): pairs of different classes of the two sides that no bound excludes."""
+    spark = rows.sparkSession
+    place, total = _places(counts)
+    groups = _group_count(spark, total)
+    sent = spark.sparkContext.broadcast(place)
+    # parts a hot run's list is cut into, by its place in the order
+    parts = np.minimum(groups, np.ceil(2.0 ** ((np.arange(256) - 1) / 8) / HOT)).astype(np.int64).clip(1)
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, seen = _Codes(), set()
         for batch in batches:
-            out = []
-            for own, left, (n, head) in zip(batch["class"], batch["is_left"], sent.value.heads(batch["words"].tolist())):
-                if len(head) < asked(least_common(n)):  # too many words that the other side hasn't
-                    continue
-                c, head = cut[left].chunk(n, own), head.tobytes()
-                out += [(int(c * columns + o if left else o * columns + c), left, own, n, head) for o in cut[not left].near(n)]
-            yield pd.DataFrame(out, columns=["task", "is_left", "class", "n", "head"])
+            fresh = []
+            for c in zip(batch["class"].tolist(), batch["is_left"].tolist()):
+                fresh.append(c not in seen)
+                if len(seen) < 2_000_000:
+                    seen.add(c)
+            batch = batch[fresh]
+            for lo in range(0, len(batch), _ROWS):
+                part = batch.iloc[lo : lo + _ROWS]
+                runs = Runs(part["words"].tolist(), codes)
+                pick = runs.indexed(sent.value)
+                own, left = part["class"].to_numpy(np.int64), part["is_left"].to_numpy(bool)
+                text, run, at = runs.row[pick], runs.run[pick], runs.at[pick]
+                split = parts[sent.value[(run >> np.uint64(42)).astype(np.int64)]]
+                group = ((run >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+                # a hot list: each left text in one part, the right texts in all
+                one = left[text]
+                group = np.where(one & (split > 1), (group + own[text] % split) % groups, group)
+                again = np.where(one, 1, split)
+                shift = np.arange(int(again.sum())) - np.repeat(np.cumsum(again) - again, again)
+                text, run, at, group = (np.repeat(x, again) for x in (text, run, at, group))
+                group = (group + shift) % groups
+                order = np.lexsort((text, group))
+                text, run, at, group = text[order], run[order].astype(np.uint32), at[order], group[order]
+                sketch = runs.sketches()
+                cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+                out = []
+                for x, y in zip(cuts, [*cuts[1:], len(group)]):
+                    inside, local = np.unique(text[x:y], return_inverse=True)
+                    out.append((int(group[x]), Postings(own[inside], runs.n[inside], left[inside], sketch[inside], run[x:y], local, at[x:y]).to_bytes()))
+                if out:
+                    yield pd.DataFrame(out, columns=["g", "blob"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group["is_left"]], group[~group["is_left"]]
-        pairs = []
-        if len(a) and len(b):
-            (own_a, n_a), (own_b, n_b) = ((x["class"].to_numpy(), x["n"].to_numpy(np.int64)) for x in (a, b))
-            heads = [[np.frombuffer(h, np.uint32) for h in x["head"]] for x in (a, b)]
-            pairs = [(np.full(len(j), own_a[i]), own_b[j]) for i, j in meetings(n_a, heads[0], n_b, heads[1])]
-        left, right = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
-        return pd.DataFrame({"left": left, "right": right})
-
-    met = single.select("class", "is_left", "words").mapInPandas(placed, "task long, is_left boolean, class long, n int, head binary").groupBy("task").applyInPandas(meet, "left long, right long")
-    candidates = materialize(met.where("left <> right").distinct(), "candidates")
+        p = Postings.of(group["blob"].tolist()).one_per_class()
+        a, b = meetings(p)
+        return pd.DataFrame({"left": p.own[a], "right": p.own[b]})
+
+    lists = rows.select("class", "is_left", "words").mapInPandas(index, "g int, blob binary")
+    return lists.groupBy("g").applyInPandas(meet, "left long, right long").distinct()
+
+
+def near_pairs(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(left, right): all pairs of different classes of the two sides that are mostly the same.
+    rows, counts: as from `classes`."""
+    met = materialize(candidates(rows, counts), "candidates")
     # the words of each class once, then both sides of each candidate
-    needed = candidates.select(F.explode(F.array("left", "right")).alias("class")).distinct()
-    if candidates.count() <= MAX_SENT:
+    needed = met.select(F.explode(F.array("left", "right")).alias("class")).distinct()
+    if met.count() <= MAX_SENT:
         needed = F.broadcast(needed)
-    texts = materialize(rows.select("class", "words").join(needed, "class", "left_semi").groupBy("class").agg(F.first("words").alias("words")), "texts")
-    both = candidates.join(texts.withColumnsRenamed({"class": "left", "words": "a"}), "left").join(texts.withColumnsRenamed({"class": "right", "words": "b"}), "right")
+    texts = rows.select("class", "words").join(needed, "class", "left_semi").groupBy("class").agg(F.first("words").alias("words"))
+    both = met.join(texts.withColumnsRenamed({"class": "left", "words": "a"}), "left").join(texts.withColumnsRenamed({"class": "right", "words": "b"}), "right")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -278,16 +424,30 @@ def cross_split_classes(records: DataFrame, key: str, text: str, is_left) -> tup
     Null texts and texts under MIN_WORDS words have no row; a null split counts as the right side;
     ties and repeated rows fall into one class; an empty table gives two empty results.
     """
-    rows, words = classes(records, key, text, is_left)
+    rows, counts = classes(records, key, text, is_left)
     members = rows.select("id", "is_left", "class").distinct()
     shared = rows.groupBy("class").agg(F.max("is_left").alias("l"), F.min("is_left").alias("r")).where("l AND NOT r")
     same = shared.select(F.col("class").alias("left"), F.col("class").alias("right"))
-    return members, materialize(near_pairs(rows, words).unionByName(same), "links")
+    return members, materialize(near_pairs(rows, counts).unionByName(same), "links")
 
 
 def linked_ids(members: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of ids (the smaller first) of every link, one row per pair."""
-    left = members.where("is_left").select(F.col("class").alias("left"), F.col("id").alias("x"))
-    right = members.where("NOT is_left").select(F.col("class").alias("right"), F.col("id").alias("y"))
-    pairs = links.select("left", "right").join(left, "left").join(right, "right").where("x <> y")
+    """Pairs of ids (the smaller first) of every link, one row per pair.
+
+    A class's ids are cut into sets of about EXPAND, and a link into one row of work per two sets,
+    so that a stock text with many copies on both sides is expanded by many tasks."""
+    size = members.groupBy("class", "is_left").agg(F.count(F.lit(1)).alias("n")).withColumn("sets", F.ceil(F.col("n") / EXPAND).cast("int")).where("sets > 1").drop("n")
+    cut = members.join(size, ["class", "is_left"], "left").withColumn("set", F.when(F.col("sets").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("sets"))).cast("int"))
+    sets = cut.groupBy("class", "is_left", "set").agg(F.collect_list("id").alias("ids"))
+    left = sets.where("is_left").select(F.col("class").alias("left"), F.col("set").alias("ls"), F.col("ids").alias("xs"))
+    right = sets.where("NOT is_left").select(F.col("class").alias("right"), F.col("set").alias("rs"), F.col("ids").alias("ys"))
+
+    def with_sets(df: DataFrame, side: str, is_left: str, name: str) -> DataFrame:
+        many = size.where(is_left).select(F.col("class").alias(side), "sets")
+        every = F.sequence(F.lit(0), F.coalesce("sets", F.lit(1)) - 1)
+        return df.join(many, side, "left").withColumn(name, F.explode(every)).drop("sets")
+
+    work = with_sets(with_sets(links.select("left", "right"), "left", "is_left", "ls"), "right", "NOT is_left", "rs")
+    work = work.join(left, ["left", "ls"]).join(right, ["right", "rs"]).repartition("left", "ls", "right", "rs")
+    pairs = work.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")).where("x <> y")
     return pairs.select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b)).distinct()

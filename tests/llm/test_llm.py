@@ -82,23 +82,57 @@ def test_evenly_spread_edits(spark, every):
     assert _pairs(spark, rows) == {(2 * i, 2 * i + 1) for i in range(len(texts))}
 
 
-def test_heads_keep_every_pair_at_the_bound():
+def test_lists_hold_a_paired_run_of_every_pair():
     g = random.Random(11)
     vocabulary = [f"w{i}" for i in range(60)]
-    for complete in (True, False):
-        known = vocabulary if complete else vocabulary[::2]
-        order = overlap.Order({w: i for i, w in enumerate(known)}, complete)
-        for _ in range(300):
-            a = [g.choice(vocabulary) for _ in range(g.randrange(10, 90))]
-            drop = set(g.sample(range(len(a)), len(a) // 5))
-            b = [x for i, x in enumerate(a) if i not in drop]  # lacks a fifth
-            c = [g.choice(vocabulary) if i in drop else x for i, x in enumerate(a)]  # a fifth replaced
-            for other in (b, c):
-                assert overlap.mostly_same(" ".join(a), " ".join(other))
-                (n, x), (m, y) = order.heads([" ".join(a), " ".join(other)])
-                for p, q, s, t in ((n, m, x, y), (m, n, y, x)):
-                    met = list(overlap.meetings(np.array([p]), [s], np.array([q]), [t]))
-                    assert len(met) == 1 and list(met[0][1]) == [0]
+    place = np.random.default_rng(2).integers(1, 255, overlap.SLOTS).astype(np.uint8)
+    codes = overlap._Codes()
+    for _ in range(400):
+        a = [g.choice(vocabulary) for _ in range(g.randrange(10, 70))]
+        out, into = set(g.sample(range(len(a)), len(a) // 5)), set(g.sample(range(len(a)), len(a) // 5))
+        b = [y for i, x in enumerate(a) for y in ([] if i in out else [x]) + ([g.choice(vocabulary)] if i in into else [])]
+        b = b[: 5 * len(a) // 4]
+        if len(b) < overlap.MIN_WORDS or not overlap.mostly_same(" ".join(a), " ".join(b)):
+            continue
+        runs = overlap.Runs([" ".join(a), " ".join(b)], codes)
+        pick = runs.indexed(place)
+        sketch, text = runs.sketches(), runs.row[pick]
+        p = overlap.Postings(np.array([5, 9]), runs.n.astype(np.int32), np.array([True, False]), sketch, runs.run[pick].astype(np.uint32), text, runs.at[pick].astype(np.int32))
+        x, y = overlap.meetings(overlap.Postings.of([p.to_bytes()]))
+        assert list(x) == [0] and list(y) == [1]
+
+
+def test_variants_of_a_template(spark):
+    g = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(300)]
+    template = [g.choice(vocabulary) for _ in range(40)]
+    rows, words = [], {}
+    for i in range(200):
+        w = list(template)
+        for k in g.sample(range(40), 3):
+            w[k] = g.choice(vocabulary)
+        words[i] = w
+        rows.append((i, " ".join(w), "train" if i % 2 else "AA_val"))
+    want = {(min(i, j), max(i, j)) for i in range(1, 200, 2) for j in range(0, 200, 2) if _lcs(words[i], words[j]) >= 32}
+    assert _pairs(spark, rows) == want and len(want) > 9000
+
+
+def test_overlap_with_empty_partitions_and_one_side(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, text, "train"), (2, text.upper(), "AA_val"), (3, text + " twelve", "AA_test")]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "row_id long, text string, split string").repartition(8)
+    members, links = overlap.cross_split_classes(df, "row_id", "text", F.col("split") == "train")
+    assert {tuple(r) for r in overlap.linked_ids(members, links, "a", "b").collect()} == {(1, 2), (1, 3)}
+    members, links = overlap.cross_split_classes(df.where("split = 'train'"), "row_id", "text", F.col("split") == "train")
+    assert links.count() == 0
+
+
+def test_hot_classes_are_expanded_in_sets(spark):
+    members = spark.range(5000).selectExpr("id", "id % 2 = 0 AS is_left", "7L AS class")
+    links = spark.createDataFrame([(7, 7)], "left long, right long")
+    assert overlap.linked_ids(members, links, "a", "b").count() == 2500 * 2500
 
 
 @pytest.mark.parametrize("copies, at", [(300, (20, 50, 80)), (400, (20, 50, 80)), (500, (50,))])
