@@ -40,8 +40,8 @@ MIN_WORDS = 10
 SLOTS, BLOCK = 1 << 22, 1 << 16
 #: Entries of the inverted lists in one group of rows, and the count from which a run's list is split.
 POSTINGS, HOT = 4_000_000, 1 << 17
-#: Bits of a sketch.
-SKETCH = 256
+#: Bits of a sketch, in words of 64.
+SKETCH = 320
 #: Class ids are sent to every task up to this many; beyond it they are joined by shuffle.
 MAX_SENT = 1_000_000
 #: Ids of a class expanded by one row of work at most.
@@ -129,6 +129,7 @@ class Postings:
 
     def __init__(self, own, n, left, sketch, run, text, at):
         self.own, self.n, self.left, self.sketch, self.run, self.text, self.at = own, n, left, sketch, run, text, at
+        self.common = least_common(n)
 
     def to_bytes(self) -> bytes:
         size = np.array([len(self.own), len(self.run)], np.int64)
@@ -168,18 +169,15 @@ class Postings:
 
 
 def _close(p: Postings, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (a, b) of texts whose words can be near enough, by length and sketch."""
-    na, nb = p.n[a], p.n[b]
-    least = least_common(np.maximum(na, nb))
-    keep = np.flatnonzero((np.minimum(na, nb) >= least) & (p.own[a] != p.own[b]))
-    a, b, most = a[keep], b[keep], (na + nb - 2 * least)[keep]
+    """The pairs (a, b) of texts whose words can be near enough, by length and whole sketch."""
     differ = np.zeros(len(a), np.int32)
     for k in range(p.sketch.shape[1]):
         word = p.sketch[:, k]
         differ = differ + np.bitwise_count(word[a] ^ word[b])
-        keep = np.flatnonzero(differ <= most)
-        a, b, most, differ = a[keep], b[keep], most[keep], differ[keep]
-    return a, b
+        keep = np.flatnonzero(differ <= p.n[a] + p.n[b] - 2 * p.common[np.where(p.n[a] > p.n[b], a, b)])
+        a, b, differ = a[keep], b[keep], differ[keep]
+    keep = np.flatnonzero((np.minimum(p.n[a], p.n[b]) >= np.maximum(p.common[a], p.common[b])) & (p.own[a] != p.own[b]))
+    return a[keep], b[keep]
 
 
 def meetings(p: Postings) -> tuple[np.ndarray, np.ndarray]:
@@ -208,9 +206,10 @@ def meetings(p: Postings) -> tuple[np.ndarray, np.ndarray]:
     # what the places allow: -(n_a - L) <= place_b - place_a <= n_b - L
     nl, nr = p.n[ltext], p.n[rtext]
     cl, cr = least_common(nl), least_common(nr)
-    small = max(int(p.n.max(initial=0)), int(p.at.max(initial=0))) < 1 << 13
-    kind = np.int16 if small else np.int32
-    cl_, cr_, la, ra, lb, rb = (x.astype(kind) for x in (cl, cr, lat - nl, rat - nr, lat, rat))
+    kind = np.int16 if int(p.n.max(initial=0)) < 1 << 13 else np.int32
+    cl_, cr_, la, ra, lb, rb, nl_, nr_ = (x.astype(kind) for x in (cl, cr, lat - nl, rat - nr, lat, rat, nl, nr))
+    sl, sr = ([np.ascontiguousarray(p.sketch[t, k]) for k in range(SKETCH // 64)] for t in (ltext, rtext))
+    telling = np.clip(-(-nl // 24), 2, SKETCH // 64)
 
     # lists where many meet: blocks of one side against the stretch of the other of near length
     starts = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))
@@ -231,6 +230,11 @@ def meetings(p: Postings) -> tuple[np.ndarray, np.ndarray]:
                 # rb - rn + L <= lb and lb - ln + L <= rb
                 ok = (least + ra[None, u:v]) <= lb[x:y, None]
                 ok &= (least + la[x:y, None]) <= rb[None, u:v]
+                differ = np.bitwise_count(sl[0][x:y, None] ^ sr[0][None, u:v]).astype(kind)
+                for k in range(1, telling[y - 1]):  # longer texts are told apart by more of the sketch
+                    differ += np.bitwise_count(sl[k][x:y, None] ^ sr[k][None, u:v])
+                least += least
+                ok &= differ + least <= nl_[x:y, None] + nr_[None, u:v]
                 hit = np.flatnonzero(ok)
                 if len(hit):
                     i, j = np.divmod(hit, v - u)
@@ -256,7 +260,14 @@ def meetings(p: Postings) -> tuple[np.ndarray, np.ndarray]:
         b = np.repeat(lo[i] - (np.cumsum(k) - k), k) + np.arange(len(a))
         least = np.maximum(cl_[a], cr_[b])
         ok = np.flatnonzero(((least + ra[b]) <= lb[a]) & ((least + la[a]) <= rb[b]))
-        take(ltext[a[ok]], rtext[b[ok]])
+        a, b, least = a[ok], b[ok], least[ok]
+        most = nl_[a] + nr_[b] - 2 * least
+        differ = np.zeros(len(a), kind)
+        for x, y in zip(sl, sr):
+            differ += np.bitwise_count(x[a] ^ y[b])
+            ok = np.flatnonzero(differ <= most)
+            a, b, differ, most = a[ok], b[ok], differ[ok], most[ok]
+        take(ltext[a], rtext[b])
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs >> 32, pairs & 0xFFFFFFFF
 
@@ -339,9 +350,22 @@ def _places(counts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _group_count(spark, runs: int) -> int:
-    """Groups of the inverted lists: as many as their size asks for; of a small input as many as run
-    side by side."""
-    return max(1, -(-runs // POSTINGS), min(spark.sparkContext.defaultParallelism, runs // 250_000))
+    """Groups of the inverted lists: as many as their size asks for, of which about six runs in ten
+    make up; of a small input as many as run side by side."""
+    return max(1, -(-runs * 6 // 10 // POSTINGS), min(spark.sparkContext.defaultParallelism, runs // 250_000))
+
+
+def _labels(spark, groups: int) -> np.ndarray:
+    """A number for each group such that a few groups fall into as many partitions of a shuffle."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if groups > 4 * parts:
+        return np.arange(groups)
+    rows = spark.range(40 * max(groups, parts)).select(F.col("id").cast("int").alias("g"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).collect()
+    by: list[list[int]] = [[] for _ in range(parts)]
+    for g, part in rows:
+        by[part].append(g)
+    spare = iter(range(1 << 30, 1 << 31))
+    return np.array([by[i % parts].pop() if by[i % parts] else next(spare) for i in range(groups)])
 
 
 def candidates(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -349,6 +373,7 @@ def candidates(rows: DataFrame, counts: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     place, total = _places(counts)
     groups = _group_count(spark, total)
+    labels = _labels(spark, groups)
     sent = spark.sparkContext.broadcast(place)
     # parts a hot run's list is cut into, by its place in the order
     parts = np.minimum(groups, np.ceil(2.0 ** ((np.arange(256) - 1) / 8) / HOT)).astype(np.int64).clip(1)
@@ -384,7 +409,7 @@ def candidates(rows: DataFrame, counts: DataFrame) -> DataFrame:
                 out = []
                 for x, y in zip(cuts, [*cuts[1:], len(group)]):
                     inside, local = np.unique(text[x:y], return_inverse=True)
-                    out.append((int(group[x]), Postings(own[inside], runs.n[inside], left[inside], sketch[inside], run[x:y], local, at[x:y]).to_bytes()))
+                    out.append((int(labels[group[x]]), Postings(own[inside], runs.n[inside], left[inside], sketch[inside], run[x:y], local, at[x:y]).to_bytes()))
                 if out:
                     yield pd.DataFrame(out, columns=["g", "blob"])
 

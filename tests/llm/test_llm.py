@@ -292,9 +292,9 @@ def test_mixture(spark):
 def test_network_gradient():
     net = language.ByteNetwork(hidden=3)
     g = np.random.default_rng(1)
-    x, y = g.integers(0, 9, (5, 4)).astype(np.uint8), np.array([0, 1, 2, 3])
+    x, y = g.integers(0, 9, (10, 4)).astype(np.uint8), np.array([0, 1, 2, 3])
     _, grad = net.gradients(x, y)
-    for k, at in (("U", (1, 2, 4)), ("V", (2, 3)), ("W", (0, 4, 1)), ("b", (2,))):
+    for k, at in (("U", (1, 2, 4)), ("V", (2, 3)), ("W", (0, 1, 4, 1)), ("W", (1, 0, 3, 4)), ("b", (2,))):
         old = net.p[k][at]
         net.p[k][at] = old + 1e-2
         up = net.gradients(x, y)[0]
@@ -319,6 +319,15 @@ def test_window_scores_cover_every_word():
     assert [len(x) for x in got] == [1, 0, 400, 1]
 
 
+def test_text_in_another_script_is_none_of_the_languages(spark):
+    russian = "Сегодня мы пошли в лес и нашли много грибов, потом вернулись домой и сварили суп."
+    df = spark.createDataFrame([(1, russian, "ru"), (2, "a plain english text of some words", None), (3, None, "en"), (4, "  ", None)], "doc_id long, text string, lang string").repartition(6)
+    net = language.ByteNetwork()
+    got = {r["doc_id"]: r["doc_lang_code"] for r in language.label_documents(df, "doc_id", "text", net).collect()}
+    assert got[1] == "und" and got[2] in language.CODES and set(got) == {1, 2}
+    assert 1 not in {r["doc_id"] for r in language.mislabelled(df, "doc_id", "text", "lang", net).collect()}
+
+
 def test_visible():
     assert visible("Ηоnеѕt​ly ＡＢ ﬁ") == "Honestly AB fi"
     assert words_text("É́T—é ÇA!") == words_text("ét e ça")
