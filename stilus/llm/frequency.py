@@ -5,12 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stilus.functions.text import with_firsts
+#: Ids held by several rows are sent to every task up to this many; beyond it they are joined by shuffle.
+MAX_SENT = 1_000_000
 
 
-def one_per_id(df: DataFrame, key: str, terms: str) -> DataFrame:
-    """(key, terms): one non-null array per id; where repeats differ, the smallest array."""
-    return df.where(F.col(terms).isNotNull()).groupBy(key).agg(F.min(terms).alias(terms))
+def term_counts(records: DataFrame) -> DataFrame:
+    """(term, n) of each distinct element of each array `s`: the array is sorted, each run of equals
+    told by where it begins and where the next one does. Null and empty elements aren't terms.
+
+    The steps are projections of their own, so that no array is sorted again for an element of it."""
+    s, st = F.col("s"), F.col("st")
+    kept = records.select(F.array_sort(F.filter("s", lambda t: t.isNotNull() & (t.cast("string") != ""))).alias("s"))
+    begun = kept.select("s", F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i)), lambda i: i.isNotNull()).alias("st"))
+    ends = F.concat(F.slice(st, 2, F.greatest(F.size(st) - 1, F.lit(0))), F.array(F.size(s)))
+    spans = begun.where(F.size("st") > 0).select("s", "st", ends.alias("en"))
+    each = spans.select(F.explode(F.zip_with("st", "en", lambda x, y: F.struct(F.get(s, x).alias("term"), (y - x).alias("n")))).alias("e"))
+    return each.select("e.term", "e.n")
+
+
+def records_of(df: DataFrame, key: str, terms: str) -> tuple[DataFrame, int]:
+    """(records, number): one non-null array `s` per id; where repeats differ, the smallest array.
+
+    Ids are counted without their arrays; only rows of ids held by several rows are brought together."""
+    rows = df.where(F.col(terms).isNotNull()).select(F.col(key).alias("k"), F.col(terms).alias("s"))
+    ids = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    number, repeated = ids.agg(F.count(F.lit(1)), F.count_if(F.col("c") > 1)).first()
+    if not repeated:
+        return rows.select("s"), number
+    many = ids.where("c > 1").select(F.col("k").alias("m"), F.lit(True).alias("many"))
+    marked = rows.join(F.broadcast(many) if repeated <= MAX_SENT else many, F.col("k").eqNullSafe(F.col("m")), "left")
+    again = marked.where("many").groupBy("k").agg(F.min("s").alias("s")).select("s")
+    return marked.where("many IS NULL").select("s").unionByName(again), number
 
 
 def term_frequencies(df: DataFrame, key: str, terms: str, min_records: int = 3, max_share: float = 0.3) -> DataFrame:
@@ -19,17 +44,12 @@ def term_frequencies(df: DataFrame, key: str, terms: str, min_records: int = 3,
     mark: `rare` if fewer than min_records records hold the term, `common` if more than max_share
     of the records whose array isn't null do, else null. Rows repeating an id count as one record.
 
-    Within a record the terms are sorted, so its first of each term is told by the neighbour and no
-    shuffle by record is needed; one (term, occurrences, records) per term and task is shuffled.
+    Each record gives its terms with their counts, where it is read; these are combined by hash within
+    each task, and one (term, occurrences, records) per term and task is shuffled.
     Null and empty elements aren't terms; null arrays aren't records, empty ones are; null ids are
     one id. A term both rare and common (a tiny table) is `rare`. An empty table gives no row.
     """
-    kept = F.filter(terms, lambda t: t.isNotNull() & (t.cast("string") != ""))
-    # read once, counted on the way: the number of records is needed for the share only
-    records = one_per_id(df.select(key, terms), key, terms)
-    total = df.where(F.col(terms).isNotNull()).agg(F.count_distinct(F.coalesce(F.xxhash64(key), F.lit(0)))).first()[0]
-    kind = dict(df.dtypes)[terms].removeprefix("array<").removesuffix(">")
-    each = records.select(F.array_sort(kept).alias("s")).select(F.explode(with_firsts(F.col("s"), kind)).alias("e"))
-    counts = each.groupBy(F.col("e.term").alias("term")).agg(F.count(F.lit(1)).alias("occurrences"), F.sum(F.col("e.first").cast("int")).alias("records"))
-    mark = F.when(F.col("records") < min_records, "rare").when(F.col("records") > F.lit(max_share) * F.lit(float(total)), "common")
+    records, number = records_of(df, key, terms)
+    counts = term_counts(records).groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
+    mark = F.when(F.col("records") < min_records, "rare").when(F.col("records") > F.lit(max_share * number), "common")
     return counts.select(F.lit(terms).alias("field"), F.col("term").cast("string").alias("term"), "occurrences", "records", mark.alias("mark"))

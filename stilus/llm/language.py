@@ -1,9 +1,10 @@
 """Languages of documents and of stretches within them (problem 10).
 
-A bidirectional gated recurrent network reads the bytes of a text and labels every position. It is
-trained here, in numpy, by backpropagation through time, on a bounded sample of labelled documents
-whose labels are taken as they were delivered: the network outvotes the few wrong ones. Position
-probabilities are pooled per word, stretch and document.
+A bidirectional gated recurrent network reads the bytes of a text, two at a step, and labels every
+position. It is trained here, in numpy, by backpropagation through time, on a bounded sample of
+labelled documents whose labels are taken as they were delivered: the network outvotes the few wrong
+ones. Position probabilities are pooled per word, stretch and document. A text mostly in letters that
+none of the languages has is none of them (`und`).
 
 The cell is the light gated unit: update z = s(Wz x + Uz h), candidate c = tanh(Wc x + Uc h),
 state h = z h + (1 - z) c.
@@ -29,7 +30,7 @@ NAMES = {
 }
 _CODE_OF = {n: c for c, names in NAMES.items() for n in names.split()}
 NO_LANGUAGE = frozenset(("", "-", "--", "?", "xx", "und", "unknown", "none", "null", "n/a", "na", "other", "zxx", "mul", "mis"))
-HIDDEN, WINDOW, SIDE, BATCH = 12, 192, 16, 512
+HIDDEN, WINDOW, SIDE, BATCH = 12, 448, 16, 512
 MIN_STRETCH = 15
 
 
@@ -46,21 +47,34 @@ def read_as(text: str) -> bytes:
     return " ".join(visible(text).lower().split()).encode("utf-8", "replace")
 
 
+#: Bytes that begin a letter of another script: what is left of a text without all others.
+_LATIN = bytes(b for b in range(256) if not (0xCD <= b <= 0xDF or 0xE0 <= b <= 0xEF and b != 0xE2))
+NONE = "und"
+
+
+def other_script(blob: bytes) -> float:
+    """Share of a text's characters that are letters of another script (of two bytes or three)."""
+    return min(1.0, 2 * len(blob.translate(None, _LATIN)) / max(1, len(blob))) if blob and not blob.isascii() else 0.0
+
+
 class ByteNetwork:
-    """Parameters: W (2, 256, 2H) per direction and byte, U (2, H, 2H), V (2H, K), b (K,)."""
+    """Parameters: W (2, 2, 256, 2H) per direction, place in the step and byte, U (2, H, 2H), V (2H, K),
+    b (K,)."""
 
     def __init__(self, hidden: int = HIDDEN, classes: int = len(CODES), seed: int = 7):
         g = np.random.default_rng(seed)
         f = np.float32
         self.p = {
-            "W": g.normal(0, 0.3, (2, 256, 2 * hidden)).astype(f), "U": g.normal(0, 1 / np.sqrt(hidden), (2, hidden, 2 * hidden)).astype(f),
+            "W": g.normal(0, 0.25, (2, 2, 256, 2 * hidden)).astype(f), "U": g.normal(0, 1 / np.sqrt(hidden), (2, hidden, 2 * hidden)).astype(f),
             "V": g.normal(0, 1 / np.sqrt(2 * hidden), (2 * hidden, classes)).astype(f), "b": np.zeros(classes, f),
         }
-        self.p["W"][:, :, :hidden] += 1.0  # keep the state at first
+        self.p["W"][:, :, :, :hidden] += 0.5  # keep the state at first
+        self.pairs: np.ndarray | None = None  # per direction what each two bytes contribute
 
     def states(self, x: np.ndarray, keep: bool = False):
-        """x (T, B) bytes; the states (2, T, B, H) of both directions, the second in reversed time."""
+        """x (2T, B) bytes; the states (2, T, B, H) of both directions, the second in reversed time."""
         W, U = self.p["W"], self.p["U"]
+        x = x[0::2].astype(np.int32) * 256 + x[1::2]
         n, batch = x.shape
         hidden = U.shape[1]
         both = np.stack([x, x[::-1]])
@@ -70,13 +84,24 @@ class ByteNetwork:
         # the logistic is a tanh of half the input: one call for gate and candidate
         scale = np.ones(2 * hidden, np.float32)
         scale[:hidden] = 0.5
-        W, U = W * scale, U * scale
+        U = U * scale
+        if keep:  # the tables change at every call
+            W = W * scale
+            given = np.stack([W[d, 0][both[d] >> 8] + W[d, 1][both[d] & 255] for d in range(2)], axis=1)
+            self.pairs = None
+        elif self.pairs is None:
+            W = W * scale
+            self.pairs = (W[:, 0, :, None] + W[:, 1, None, :]).reshape(2, 1 << 16, 2 * hidden)
+        pairs = self.pairs
         a, w = np.empty((2, 2, batch, 2 * hidden), np.float32)
         for t in range(n):
             np.matmul(h, U, out=a)
-            np.take(W[0], both[0, t], axis=0, out=w[0], mode="clip")
-            np.take(W[1], both[1, t], axis=0, out=w[1], mode="clip")
-            a += w
+            if keep:
+                a += given[t]
+            else:
+                np.take(pairs[0], both[0, t], axis=0, out=w[0], mode="clip")
+                np.take(pairs[1], both[1, t], axis=0, out=w[1], mode="clip")
+                a += w
             np.tanh(a, out=a)
             z, c = a[:, :, :hidden], a[:, :, hidden:]
             z *= 0.5
@@ -89,16 +114,16 @@ class ByteNetwork:
         return (out, gates, both) if keep else out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        """(T, B, K): one score per position and language."""
+        """(T, B, K) of bytes (2T, B): one score per step and language."""
         s = self.states(x)
         hidden = s.shape[-1]
         return s[0] @ self.p["V"][:hidden] + s[1][::-1] @ self.p["V"][hidden:] + self.p["b"]
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and gradients for windows x (T, B) of one language each, y (B,)."""
+        """Loss and gradients for windows x (2T, B) of one language each, y (B,)."""
         p = self.p
         out, gates, both = self.states(x, keep=True)
-        n, batch = x.shape
+        n, batch = both.shape[1:]
         hidden = out.shape[-1]
         f, r = out[0], out[1][::-1]
         logit = f @ p["V"][:hidden] + r @ p["V"][hidden:] + p["b"]
@@ -124,7 +149,8 @@ class ByteNetwork:
             g["U"] += before.transpose(0, 2, 1) @ da[:, t]
             dh = dh * z + da[:, t] @ Ut
         for k in range(2):
-            np.add.at(g["W"][k], both[k].ravel(), da[k].reshape(-1, 2 * hidden))
+            for place, byte in enumerate((both[k] >> 8, both[k] & 255)):
+                np.add.at(g["W"][k, place], byte.ravel(), da[k].reshape(-1, 2 * hidden))
         return float(loss), g
 
 
@@ -167,7 +193,7 @@ def word_scores(net: ByteNetwork, texts: list[str]) -> list[np.ndarray]:
     """Per text, a row per word: the sum of the scores of its positions, which are log-probabilities
     up to a constant that no comparison of languages sees.
 
-    Every position is labelled once. Long texts are read in windows, with SIDE bytes of their own
+    Every position is labelled once, both bytes of a step alike. Long texts are read in windows, with SIDE bytes of their own
     neighbouring text at either side of a window; short ends are filled up with zero bytes.
     """
     blobs = [read_as(t) for t in texts]
@@ -184,9 +210,10 @@ def word_scores(net: ByteNetwork, texts: list[str]) -> list[np.ndarray]:
     order = np.argsort(width, kind="stable")
     for lo in range(0, len(order), BATCH):
         w = order[lo : lo + BATCH]
-        place = np.arange(int(width[w].max()))[:, None] + (begin[doc[w]] + first[w])
+        longest = int(width[w].max())
+        place = np.arange(longest + longest % 2)[:, None] + (begin[doc[w]] + first[w])
         x = np.where(np.arange(len(place))[:, None] < width[w], buffer[place], 0)
-        logit = net.logits(x)
+        logit = np.repeat(net.logits(x), 2, axis=0)
         own = (place >= begin[doc[w]] + at[w]) & (place < begin[doc[w]] + np.minimum(at[w] + step, size[doc[w]]))
         scores[place[own]] = logit[own]
     words = np.array([b.count(b" ") + 1 if b else 0 for b in blobs])
@@ -264,7 +291,9 @@ def label_documents(docs: DataFrame, key: str, text: str, net: ByteNetwork) -> D
     """
     columns = ["segment", "n_segments", "first_word", "n_words", "lang_code", "confidence", "doc_lang_code", "doc_confidence"]
 
-    def rows_of(scores: np.ndarray, label: str | None) -> list[tuple]:
+    def rows_of(scores: np.ndarray, label: str | None, foreign: float) -> list[tuple]:
+        if foreign > 0.5:
+            return [(0, 1, 0, len(scores), NONE, foreign, NONE, foreign)]
         cut = stretches(scores)
         if not cut:
             return []
@@ -280,9 +309,12 @@ def label_documents(docs: DataFrame, key: str, text: str, net: ByteNetwork) -> D
 
 def mislabelled(docs: DataFrame, key: str, text: str, label: str, net: ByteNetwork) -> DataFrame:
     """(key, lang_code): what `verdict` reports of each document, from the same stretches as
-    `label_documents`. Null and blank texts have no row; a null label is a missing one."""
+    `label_documents`. Null and blank texts have no row, nor have texts in none of the languages; a
+    null label is a missing one."""
 
-    def rows_of(scores: np.ndarray, given: str | None) -> list[tuple]:
+    def rows_of(scores: np.ndarray, given: str | None, foreign: float) -> list[tuple]:
+        if foreign > 0.5:
+            return []
         return [(c,) for c in verdict(stretches(scores), int(scores.sum(0).argmax()), given)] if len(scores) else []
 
     return _per_document(docs, key, text, label, net, rows_of, ["lang_code"], "lang_code string").distinct()
@@ -299,8 +331,9 @@ def _per_document(docs: DataFrame, key: str, text: str, label: str | None, net:
             out = []
             for lo in range(0, len(ids), 1000):
                 hi = lo + 1000
-                for i, given, scores in zip(ids[lo:hi], labels[lo:hi], word_scores(own, texts[lo:hi])):
-                    out += [(i, *r) for r in rows_of(scores, given)]
+                for i, given, t, scores in zip(ids[lo:hi], labels[lo:hi], texts[lo:hi], word_scores(own, texts[lo:hi])):
+                    foreign = 0.0 if t.isascii() else other_script(t.encode("utf-8", "replace"))
+                    out += [(i, *r) for r in rows_of(scores, given, foreign)]
             yield pd.DataFrame(out, columns=[key, *columns])
 
     given = F.col(label) if label else F.lit(None)
@@ -308,12 +341,15 @@ def _per_document(docs: DataFrame, key: str, text: str, label: str | None, net:
     return rows.mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, {schema}")
 
 
-def train_on(docs: DataFrame, key: str, text: str, label: str, per_language: int = 150) -> ByteNetwork:
+def train_on(docs: DataFrame, key: str, text: str, label: str, per_language: int = 150, excerpt: int = 4000) -> ByteNetwork:
     """A network trained on at most per_language documents of each label, the ones of the smallest
-    key hash: a bounded sample, the same at every run."""
+    key hash, and of each an excerpt of at most `excerpt` characters, begun at a place anywhere in the
+    text told by that hash: a bounded sample of labelled rows, the same at every run."""
     known = F.lower(F.trim(label))
     code = F.coalesce(*[F.when(known.isin(*names.split()) | F.split(known, "[-_ ]")[0].isin(*names.split()), F.lit(c)) for c, names in NAMES.items()])
-    rows = docs.select(F.col(text).alias("t"), code.alias("c"), F.xxhash64(key).alias("h")).where(F.col("c").isNotNull() & (F.char_length("t") >= 80))
+    h = F.xxhash64(key)
+    begin = F.pmod(h, F.greatest(F.char_length(text) - excerpt, F.lit(0)) + 1) + 1
+    rows = docs.where(code.isNotNull() & (F.char_length(text) >= 80)).select(F.substring(F.col(text), begin.cast("int"), F.lit(excerpt)).alias("t"), code.alias("c"), h.alias("h"))
     w = Window.partitionBy("c").orderBy("h", "t")
-    sample = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select(F.substring("t", 1, 4000).alias("t"), "c", "h").toArrow().to_pandas().sort_values(["h", "t"])
+    sample = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select("t", "c", "h").toArrow().to_pandas().sort_values(["h", "t"])
     return train(sample["t"].tolist(), [CODES.index(c) for c in sample["c"]])
