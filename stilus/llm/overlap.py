@@ -46,7 +46,7 @@ SKETCH = 320
 MAX_SENT = 1_000_000
 #: Ids of a class expanded by one row of work at most.
 EXPAND = 1000
-_ROWS, _CELLS = 1 << 13, 1 << 22
+_ROWS, _CELLS = 1 << 13, 1 << 20
 
 
 def least_common(n):
