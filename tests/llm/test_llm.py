@@ -229,12 +229,42 @@ def test_abuse_gradient_and_fit(spark):
         net.p[k][at] = old
         assert abs((up - down) / 2e-2 - grad[k][at]) < 2e-2
     net = abuse.train([], [])
-    q = abuse.scores(net, ["You are a filthy idiot.", "The nurse carried two lamps.", "What a s t u p i d b*****d you are, shut your mouth."], abuse.Hasher())
+    q = abuse.scores(net, ["You are a filthy idiot.", "The nurse carried two lamps.", "What a s t u p i d b*****d you are, shut your mouth."], abuse.Hasher(net.known))
     assert q[0] > 0.5 > q[1]
     df = spark.createDataFrame([(1, "s", None, None), (2, "s", " ", "en"), (2, "s", " ", "en")], "doc_id long, source string, text string, lang string")
     assert [r["score"] for r in abuse.score_documents(df, net, {"": 0.5}).collect()] == [0.0, 0.0, 0.0]
 
 
+def test_examples_stand_in_no_document(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL").select("text").toArrow().to_pandas()["text"]
+    runs = {" ".join(s[i : i + 5]) for t in rows for s in abuse.sentences(t) for i in range(len(s) - 4)}
+    whole = {" ".join(s) for t in rows for s in abuse.sentences(t) if len(s) > 2}
+    for t in abuse.ABUSIVE + abuse.HARMLESS:
+        for s in abuse.sentences(t):
+            assert " ".join(s) not in whole
+            assert not {" ".join(s[i : i + 5]) for i in range(len(s) - 4)} & runs
+
+
+def test_marked_documents_teach_their_sentence():
+    g = random.Random(4)
+    vocabulary = [f"thing{i}" for i in range(200)]
+    plain = lambda: " ".join(g.choice(vocabulary) for _ in range(9)) + "."
+    texts, marks = [], []
+    for i in range(300):
+        bad = i % 6 == 0
+        texts.append(" ".join([plain(), "Zork off you glibbering flurb." if bad else plain(), plain()]))
+        marks.append(int(bad) if i % 50 else 1)  # some marks are mistaken
+    net = abuse.train(texts, marks)
+    q = abuse.scores(net, [plain() + " Zork off you glibbering flurb. " + plain(), plain(), "zork"], abuse.Hasher(net.known))
+    assert q[0] > 0.5 > q[1]
+
+
+def test_long_sentences_are_scored_whole():
+    net = abuse.train([], [])
+    q = abuse.scores(net, ["word " * 5000 + "you filthy idiot", "word " * 5000, "**bold** words", ""], abuse.Hasher(net.known))
+    assert q[0] > 0.5 and q[1] < q[0] and q[3] == 0
+
+
 # -- 7 ---------------------------------------------------------------------------------------
 def test_frequencies(spark):
     df = spark.createDataFrame([(1, ["a", "a", None, ""]), (1, ["a", "a", None, ""]), (2, ["a", "b"]), (3, None), (4, [])], "entry_id long, tokens array<string>")
