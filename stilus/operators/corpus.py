@@ -56,6 +56,11 @@ def dedup_per_author(aa: DataFrame) -> DataFrame:
     return first_per(aa, ["author", "text"])
 
 
+def texts_per_author(aa: DataFrame) -> DataFrame:
+    """(author, n_rows, n_distinct)."""
+    return aa.groupBy("author").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.xxhash64("text"), F.md5("text")).alias("n_distinct"))
+
+
 def duplicate_census(aa: DataFrame) -> DataFrame:
     """One row: n_texts, n_distinct, n_repeated (texts held more than once), n_surplus rows."""
     per = aa.groupBy("text").agg(F.count(F.lit(1)).alias("c"))
@@ -100,6 +105,55 @@ def apply_labels(aa: DataFrame, labels: DataFrame) -> DataFrame:
     return aa.join(labels, "author").select(F.col("new_id").alias("author"), "seq", "text")
 
 
+def apply_labels_strict(aa: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their new id; an author without one fails the query."""
+    both = aa.join(labels, "author", "left")
+    missing = F.raise_error(F.concat(F.lit("no label for author "), F.col("author").cast("string")))
+    return both.select(F.when(F.col("new_id").isNull(), missing).otherwise(F.col("new_id")).cast("long").alias("author"), "seq", "text")
+
+
+def relabel_by_name(aa: DataFrame, author: str = "author") -> DataFrame:
+    """(author, new_id): authors numbered from 0 in the order of their names."""
+    return dense_index(aa.select(author).distinct(), [author], "new_id").select(author, "new_id")
+
+
+def restrict_to(df: DataFrame, known: DataFrame, author: str = "author") -> DataFrame:
+    """Rows whose author the other set knows."""
+    return df.join(known.select(author).distinct(), author, "left_semi")
+
+
+def first_rows(aa: DataFrame, n: int, seq: str = "seq") -> DataFrame:
+    """The n rows of the smallest seq."""
+    return aa.orderBy(seq).limit(n)
+
+
+def shuffled(df: DataFrame, seq: str, seed: int = 0) -> DataFrame:
+    """`df` with place BIGINT, its row's place in a random order that is the same at every run; columns
+    of one row stay together."""
+    return dense_index(df.withColumn("__h", hash_of(seed, seq)), ["__h", seq], "place").drop("__h")
+
+
+def by_length(df: DataFrame, text: str, partitions: int) -> DataFrame:
+    """Rows dealt into partitions of near lengths, sorted by length within them: batches that need little
+    padding."""
+    return df.repartitionByRange(partitions, F.length(text)).sortWithinPartitions(F.length(text))
+
+
+def text_addresses(aa: DataFrame) -> DataFrame:
+    """(seq, author, text_id): each text's place from 0 among its author's."""
+    return numbered(aa.select("author", "seq"), "author", "seq").select("seq", "author", (F.col("no") - 1).alias("text_id"))
+
+
+def grouped(aa: DataFrame) -> DataFrame:
+    """(author, texts): an author's texts in order, for the edge of a pipeline: a list per author."""
+    return aa.groupBy("author").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("s")).select("author", F.transform("s", lambda x: x["text"]).alias("texts"))
+
+
+def ungrouped(df: DataFrame) -> DataFrame:
+    """(author, no, text) of lists of texts, numbered from 0."""
+    return df.select("author", F.posexplode("texts").alias("no", "text"))
+
+
 def min_chars(aa: DataFrame, n: int = 100) -> DataFrame:
     return aa.where(F.length(F.trim("text")) >= n)
 
@@ -147,13 +201,22 @@ def stratified_split(aa: DataFrame, parts=(("train", 6), ("val", 2), ("test", 2)
     return r.select("author", "seq", part.alias("part"))
 
 
+def numbered(df: DataFrame, key: str, seq: str) -> DataFrame:
+    """`df` with no BIGINT from 1: a row's place in its key's order of seq, which must be unique.
+
+    All rows are sorted by (key, seq) over ranges, so a hot key is cut among tasks, and a row's place is
+    its place in all less that of its key's first row."""
+    at = dense_index(df, [key, seq], "__i")
+    first = at.groupBy(key).agg(F.min("__i").alias("__f"))
+    return at.join(first, key).withColumn("no", F.col("__i") - F.col("__f") + 1).drop("__i", "__f")
+
+
 def positional_split(aa: DataFrame, cuts=(("train", 600), ("val", 800)), rest: str = "test") -> DataFrame:
     """(author, seq, part) by a text's place in its author's order."""
-    w = Window.partitionBy("author").orderBy("seq")
-    no, part = F.row_number().over(w), None
+    no, part = F.col("no"), None
     for name, upto in cuts:
-        part = F.when(F.col("no") <= upto, name) if part is None else part.when(F.col("no") <= upto, name)
-    return aa.select("author", "seq", no.alias("no")).select("author", "seq", part.otherwise(rest).alias("part"))
+        part = F.when(no <= upto, name) if part is None else part.when(no <= upto, name)
+    return numbered(aa.select("author", "seq"), "author", "seq").select("author", "seq", part.otherwise(rest).alias("part"))
 
 
 def forced_train_split(aa: DataFrame, least: int = 2, seed: int = 0) -> DataFrame:
@@ -204,8 +267,23 @@ def union_new(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b.distinct().join(a, list(a.columns), "left_anti"))
 
 
-def combine(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two corpora with dense author numbers made one: the second's numbers follow the first's."""
+def merge_pairs(large: DataFrame, small: DataFrame, key: str = "id", once: bool = True) -> DataFrame:
+    """Two sets of pairs in one; of pairs with the same id that of the larger set, unless repeats are
+    wanted."""
+    return large.unionByName(small.join(large.select(key), key, "left_anti").select(*large.columns)) if once else large.unionByName(small)
+
+
+def differences(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """(column, side): distinct values of one side that the other hasn't."""
+    only = lambda x, y, side: x.select(column).distinct().join(y.select(column), column, "left_anti").withColumn("side", F.lit(side))
+    return only(a, b, "left").unionByName(only(b, a, "right"))
+
+
+def combine(a: DataFrame, b: DataFrame, drop: int = 0) -> DataFrame:
+    """Two corpora with dense author numbers made one: the second's numbers follow the first's, its
+    first `drop` authors left out and the others numbered anew."""
+    if drop:
+        b = b.where(F.col("author") >= drop).withColumn("author", F.col("author") - drop)
     top = a.agg(F.max("author")).first()[0]
     return a.unionByName(b.withColumn("author", F.col("author") + (top + 1 if top is not None else 0)))
 

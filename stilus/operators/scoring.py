@@ -1,5 +1,5 @@
-"""Scorers and metrics: prediction by partial matching, embedding distances, nearest neighbours, and
-the usual figures for attribution and verification."""
+"""Scorers and metrics: counts of prediction by partial matching (scored in `ppm`), embedding distances,
+nearest neighbours, and the usual figures for attribution and verification (more in `evaluation`)."""
 
 from __future__ import annotations
 
@@ -45,31 +45,6 @@ def subtract_model(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return d.select(*keys, F.when(n < 0, F.raise_error(F.lit("a model can't be taken from a smaller one"))).otherwise(n).cast("long").alias("n")).where("n > 0")
 
 
-def ppm_scores(docs: DataFrame, key: str, text: str, model: DataFrame, author: str, order: int = 5, alphabet: int = 256) -> DataFrame:
-    """(key, author, bits): mean bits per character of each document under each author's model.
-
-    Each character takes its probability from the longest context that has seen it, else 1/alphabet.
-    Equal (ctx, ch) of a document are counted once before the join. Empty texts have no row.
-    """
-    total = model.groupBy(author, "k", "ctx").agg(F.sum("n").alias("total"))
-    p = model.join(total, [author, "k", "ctx"]).select(author, "k", "ctx", "ch", (F.col("n") / F.col("total")).alias("p"))
-    seen = contexts(docs, [key], text, order).join(p, ["k", "ctx", "ch"])
-    best = seen.groupBy(key, author, "pos").agg(F.max_by("p", "k").alias("p"))
-    sums = best.groupBy(key, author).agg(F.sum(-F.log2("p")).alias("b"), F.count(F.lit(1)).alias("m"))
-    size = docs.select(F.col(key), F.length(text).alias("size")).where("size > 0")
-    all_ = size.join(F.broadcast(model.select(author).distinct()))  # candidates are few beside documents
-    bits = (F.coalesce("b", F.lit(0.0)) + (F.col("size") - F.coalesce("m", F.lit(0))) * F.log2(F.lit(float(alphabet)))) / F.col("size")
-    return all_.join(sums, [key, author], "left").select(key, author, bits.alias("bits"))
-
-
-def attribute(scores: DataFrame, key: str, author: str, score: str) -> DataFrame:
-    """(key, author, margin): the author of the lowest score, ties to the smaller one; margin is the
-    gap to the second over the gap to the last, null if all are equal."""
-    s = scores.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(score, author))).alias("s"))  # one entry per candidate
-    h1, h2, hx = F.col("s")[0][score], F.get("s", F.lit(1))[score], F.element_at("s", -1)[score]
-    return s.select(key, F.col("s")[0][author].alias(author), F.round(F.try_divide(h2 - h1, hx - h1), 6).alias("margin"))
-
-
 def normalise_scores(scores: DataFrame, key: str, author: str, score: str) -> DataFrame:
     """(key, author, err, rank): the score less the author's mean, ranked per document."""
     mean = scores.groupBy(author).agg(F.avg(score).alias("m"))
@@ -98,18 +73,59 @@ def kernel(d: Column) -> Column:
     return F.exp(-0.09 * d * d * d) + 1e-10
 
 
-def contrastive(d: Column, same: Column, near: float = 1.0, far: float = 3.0) -> Column:
-    """Squared excess over `near` for equal authors, squared shortfall of `far` for others."""
-    return F.when(same == 1, F.pow(F.greatest(d - near, F.lit(0.0)), 2.0)).otherwise(F.pow(F.greatest(far - d, F.lit(0.0)), 2.0))
+def shifted_euclidean(a: Column, b: Column) -> Column:
+    """Euclid's distance with 1e-10 under the root, so that it has a slope at 0."""
+    return F.sqrt(_pairs(a, b, lambda x, y: (x - y) * (x - y)) + 1e-10)
+
+
+def cosine_share(a: Column, b: Column) -> Column:
+    """The cosine moved to 0..1."""
+    return (cosine(a, b) + 1) / 2
+
+
+def negated(d: Column) -> Column:
+    """The kernel -d."""
+    return F.negate(d)
+
+
+def two_margin_loss(similarity: Column, same: Column, same_margin: float = 0.5, different_margin: float = 1.5) -> Column:
+    """Squared shortfall of a same-author similarity below one margin, squared excess of another one
+    above the other margin."""
+    return F.when(same == 1, F.pow(F.greatest(F.lit(same_margin) - similarity, F.lit(0.0)), 2.0)).otherwise(F.pow(F.greatest(similarity - different_margin, F.lit(0.0)), 2.0))
+
+
+def contrastive_loss(distance: Column, similarity: Column, same: Column, margin: float = 0.5) -> Column:
+    """Half the squared distance of a same-author pair, half the squared shortfall of another pair's
+    similarity below the margin."""
+    return 0.5 * F.when(same == 1, F.pow(distance, 2.0)).otherwise(F.pow(F.greatest(F.lit(margin) - similarity, F.lit(0.0)), 2.0))
+
+
+#: Bytes of one side that may be sent to every task; beyond it both sides are cut into blocks.
+SENT_BYTES = 64 << 20
+
+
+def against_blocks(small: DataFrame, rows: DataFrame, blocks: int = 16, row_bytes: int = 1024) -> DataFrame:
+    """Every row of `small`, a set stated by the caller, beside every row of `rows`.
+
+    While `small` is known to be under SENT_BYTES it is sent to every task; beyond it both sides are
+    dealt into blocks and each two blocks meet in one task."""
+    n = small.count()
+    if n * row_bytes <= SENT_BYTES:
+        return rows.crossJoin(F.broadcast(small))
+    parts = max(1, -(-n * row_bytes // SENT_BYTES))
+    deal = lambda df, name, k: df.withColumn(name, F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int"))
+    spread = lambda df, name, k: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    left, right = spread(deal(small, "__s", parts), "__r", blocks), spread(deal(rows, "__r", blocks), "__s", parts)
+    return right.join(left, ["__s", "__r"]).drop("__s", "__r")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query, key, distance, rank): the k nearest other rows of each query, ties by id.
 
-    The query set is stated by the caller and sent to every task in blocks of the rows; each task keeps
-    only its k best per query before the shuffle."""
+    The query set is stated by the caller and meets the rows in blocks; each task keeps only its k best
+    per query before the shuffle."""
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
-    d = rows.join(F.broadcast(q), F.col("query") != F.col(key)).select("query", key, F.round(euclidean(F.col("__q"), F.col(vector)), 9).alias("distance"))
+    d = against_blocks(q, rows).where(F.col("query") != F.col(key)).select("query", key, F.round(euclidean(F.col("__q"), F.col(vector)), 9).alias("distance"))
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key))).where(F.col("rank") <= k)
 
 
@@ -120,15 +136,6 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 # -- metrics: columns truth (0/1) and score, 0.5 is no decision ----------------------------------
-def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the ROC curve from counts per distinct score; 0 where a class is missing.
-
-    Equal scores are counted first; the running counts go over distinct scores only."""
-    per = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.sum(truth).cast("double").alias("p"), F.sum(1 - F.col(truth)).cast("double").alias("q"))
-    below = F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("q")
-    return per.withColumn("b", below).agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)), F.sum("p") * F.sum("q")), F.lit(0.0)), 9).alias("auc"))
-
-
 def verification_metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
     """One row: n, c_at_1, f1, f05u, brier."""
     t, s = F.col(truth), F.col(score).cast("double")

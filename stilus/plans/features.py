@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stilus.functions import text as t
+from stilus.operators import evaluation as ev
 from stilus.operators import scoring as m
 from stilus.operators.corpus import uniform
 from stilus.session import table
@@ -27,7 +28,7 @@ def _texts(s, d):
 
 
 _T = "FROM aa_texts WHERE text IS NOT NULL"
-_BASE = "regexp_replace(regexp_replace(text, '[0-9]', '0', 'g'), '[\\n\\t]+', '', 'g')"
+_BASE = r"regexp_replace(regexp_replace(regexp_replace(text, '[0-9]', '0', 'g'), '( \n| \t)+', '', 'g'), 'https:\\+([a-zA-Z0-9.]+)?', '@', 'g')"
 _WORDS = "list_filter(regexp_split_to_array({x}, '[ \\t\\r\\n\\f]+'), lambda w: w <> '')"
 
 
@@ -111,7 +112,7 @@ x AS (SELECT {keys}, CAST(p - 1 AS INTEGER) AS pos, unnest(range(0, least(p - 1,
 SELECT {keys}, pos, CAST(k AS INTEGER) AS k, substr(text, CAST(p - k AS BIGINT), CAST(k AS BIGINT)) AS ctx, substr(text, CAST(p AS BIGINT), 1) AS ch FROM x"""
 
 
-# the twins of ppm_counts and ppm_negate hold contexts of at most 3 characters; those of order 5 are whole
+# ppm_counts and ppm_negate count contexts of at most 3 characters; those of order 5 are the whole models
 _PPM_5 = _PPM.replace("least(p - 1, 3)", "least(p - 1, 5)")
 
 
@@ -133,22 +134,6 @@ def ppm_counts_order5(s, d):
     return _ppm_counts(s, d, 5)
 
 
-def _ppm(s, d):
-    aa = table(s, d, "aa_texts").where("text IS NOT NULL").select("row_id", "split", "source", "text")
-    model = m.ppm_counts(aa.where("split = 'train'"), "source", "text")
-    return m.ppm_scores(aa.where("split = 'cross_topic_test'").select("row_id", "text"), "row_id", "text", model, "source")
-
-
-@query()
-def ppm_cross_entropy(s, d):
-    return _ppm(s, d).withColumn("bits", F.round("bits", 6))
-
-
-@query()
-def ppm_attribution(s, d):
-    return m.attribute(_ppm(s, d), "row_id", "source", "bits")
-
-
 def _ppm_negate(s, d, order):
     model, keys = _ppm_model(s, d, order), ["k", "ctx", "ch"]
     whole = model.groupBy(*keys).agg(F.sum("n").alias("n"))
@@ -201,12 +186,12 @@ def _neighbours(s, d):
     return e.join(r, F.col("vec_id") + 1 == F.col("next"))
 
 
-@query(f"SELECT q.vec_id, round({_D}, 6) AS euclid, round({_COS}, 6) AS cosine, round(exp(-0.09 * {_D} * {_D} * {_D}) + 1e-10, 9) AS kernel, round(CASE WHEN q.label = r.label THEN pow(greatest({_D} - 1, 0), 2) ELSE pow(greatest(3 - {_D}, 0), 2) END, 6) AS loss {_PAIR}")
+@query(f"SELECT q.vec_id, round({_D}, 6) AS euclid, round({_COS}, 6) AS cosine, round(exp(-0.09 * {_D} * {_D} * {_D}) + 1e-10, 9) AS kernel, round(CASE WHEN q.label = r.label THEN pow(greatest(0.5 - (exp(-0.09 * {_D} * {_D} * {_D}) + 1e-10), 0), 2) ELSE pow(greatest(exp(-0.09 * {_D} * {_D} * {_D}) + 1e-10 - 1.5, 0), 2) END, 6) AS loss {_PAIR}")
 def kernel_similarity(s, d):
     dist = m.euclidean(F.col("embedding"), F.col("other"))
     p = _neighbours(s, d).withColumn("d", dist)
     same = (F.col("label") == F.col("label1")).cast("int")
-    return p.select("vec_id", F.round("d", 6).alias("euclid"), F.round(m.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"), F.round(m.kernel(F.col("d")), 9).alias("kernel"), F.round(m.contrastive(F.col("d"), same), 6).alias("loss"))
+    return p.select("vec_id", F.round("d", 6).alias("euclid"), F.round(m.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"), F.round(m.kernel(F.col("d")), 9).alias("kernel"), F.round(m.two_margin_loss(m.kernel(F.col("d")), same), 6).alias("loss"))
 
 
 _L = "SELECT toxic AS truth, quality / 5.0::DOUBLE AS score FROM doc_labels WHERE toxic IS NOT NULL AND quality IS NOT NULL"
@@ -218,7 +203,7 @@ def _scored(s, d):
 
 @query(f"WITH t AS ({_L}), r AS (SELECT truth, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM t) SELECT round(coalesce((sum(CASE WHEN truth = 1 THEN r END) - sum(truth) * (sum(truth) + 1) / 2.0::DOUBLE) / nullif(sum(truth) * sum(1 - truth), 0)::DOUBLE, 0), 9) AS auc FROM r")
 def metrics_auc(s, d):
-    return m.auc(_scored(s, d), "truth", "score")
+    return ev.auc(_scored(s, d), "truth", "score")
 
 
 @query(f"""WITH a AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (score = 0.5)::DOUBLE AS u, count(*) FILTER (score <> 0.5 AND (score > 0.5) = (truth = 1))::DOUBLE AS c, count(*) FILTER (score > 0.5 AND truth = 1)::DOUBLE AS tp, count(*) FILTER (score > 0.5 AND truth = 0)::DOUBLE AS fp, count(*) FILTER (score < 0.5 AND truth = 1)::DOUBLE AS fn, avg((score - truth) * (score - truth)) AS b FROM ({_L}))
@@ -254,5 +239,5 @@ def pan_join_default(s, d):
 def score_matrix_normalise(s, d):
     e = table(s, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
-    x = e.join(F.broadcast(q), F.col("doc") != F.col("vec_id")).groupBy("doc", F.col("label").alias("cand")).agg(F.min(m.euclidean(F.col("v"), F.col("embedding"))).alias("s"))
+    x = m.against_blocks(q, e).where(F.col("doc") != F.col("vec_id")).groupBy("doc", F.col("label").alias("cand")).agg(F.min(m.euclidean(F.col("v"), F.col("embedding"))).alias("s"))
     return m.normalise_scores(x, "doc", "cand", "s")

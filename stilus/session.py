@@ -39,7 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor costs no more than its running tasks.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

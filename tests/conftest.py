@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -10,14 +12,20 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
+    from stilus.session import release
+
+    shared = tempfile.mkdtemp(prefix="stilus-tests-")
     s = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release(s)
     s.stop()
+    shutil.rmtree(shared, ignore_errors=True)

@@ -3,10 +3,10 @@
 import pytest
 
 import oracle
-from stilus.plans import corpus, features, skew
+from stilus.plans import corpus, features, more_corpus, more_eval, more_text, skew
 
 FOLDER = "/root/testdata/sf0.001"
-ALL = {k: (q, m.ORACLE.get(k)) for m in (skew, corpus, features) for k, q in m.QUERIES.items()}
+ALL = {k: (q, m.ORACLE.get(k)) for m in (skew, corpus, features, more_text, more_corpus, more_eval) for k, q in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", sorted(k for k, (_, sql) in ALL.items() if sql))
