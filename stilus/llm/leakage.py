@@ -23,6 +23,8 @@ from stilus.llm.lookalike import words_text
 SEED, MIN_WORDS, EDITS_PER_WORD = 7, 28, 10
 #: Words in one shard's suffix array at most, unless a single document is longer.
 SHARD_WORDS = 2_000_000
+#: Bytes of held-out text sent to every task at once; more are gone over in rounds.
+ROUND_BYTES = 8 << 20
 _MARKUP = re.compile(r"<[^<>]{0,300}>|&(?:[a-zA-Z]{2,8}|#\d{1,7});")
 
 
@@ -98,7 +100,7 @@ def holds_passage(item: np.ndarray, doc: np.ndarray, min_words: int = MIN_WORDS,
 
 
 class Items:
-    """The held-out items as word ids. A fixed, small set: its size must be bounded by the caller."""
+    """A round's held-out items as word ids. Its size is bounded by the caller."""
 
     def __init__(self, rows: list[tuple[int, str]], depth: int = SEED):
         self.vocabulary: dict[str, int] = {}
@@ -135,10 +137,11 @@ class Items:
         MIN_WORDS or more words with few enough of those, no passage.
         """
         shift = (2 * MIN_WORDS - 1) // EDITS_PER_WORD
-        width = max(map(len, self.item))
-        padded = np.full((len(self.item), width), -1, np.int32)
-        for k, x in enumerate(self.item):
-            padded[k, : len(x)] = x
+        met, item = np.unique(item, return_inverse=True)  # only the items that the shard has seeds of
+        width = max(len(self.item[k]) for k in met) if len(met) else MIN_WORDS
+        padded = np.full((len(met), width), -1, np.int32)
+        for k, x in enumerate(met):
+            padded[k, : len(self.item[x])] = self.item[x]
         room = np.concatenate([np.zeros(width + shift, np.int32), ids, np.zeros(width + shift, np.int32)])
         near = np.arange(width + 2 * shift)
         out = np.zeros(len(item), bool)
@@ -180,9 +183,9 @@ class Items:
         pair = doc * len(self.item) + item
         by_pair = np.argsort(pair, kind="stable")
         found = []
-        certain = np.unique(pair[length >= MIN_WORDS])
-        open_ = np.setdiff1d(pair[likely], certain)
-        for p in [*certain, *open_]:
+        certain = set(np.unique(pair[length >= MIN_WORDS]).tolist())
+        open_ = np.setdiff1d(pair[likely], list(certain))
+        for p in [*sorted(certain), *open_.tolist()]:
             d, i = divmod(int(p), len(self.item))
             mine = by_pair[slice(*np.searchsorted(pair[by_pair], [p, p + 1]))]
             words_, text = self.item[i], docs[d]
@@ -196,31 +199,50 @@ class Items:
         return found
 
 
-def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, max_items: int = 100_000) -> DataFrame:
+def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """(item_key, key, longest_match INT, word_offset INT): documents holding a passage of an item.
 
-    One row per pair: the longest verbatim match in words and where it begins in the document. The
-    items are a fixed held-out set, sent whole to every task; more than max_items are refused. The
-    corpus is read once, in place: nothing of it is shuffled but the pairs found.
+    One row per pair: the longest verbatim match in words and where it begins in the document. Items are
+    sent whole to every task, in rounds of about round_bytes, however many they are; each round reads the
+    corpus once, in place: nothing of it is shuffled but the pairs found. Suffix arrays are built over
+    shards of up to SHARD_WORDS words, whatever the size of the batches that the texts come in.
 
     Null texts hold nothing; items under 28 words can't leak by this definition; repeated ids and
     rows give one row, with the longest of their matches. Extra columns are ignored.
     """
-    rows = [(r[0], r[1]) for r in items.where(F.col(item_text).isNotNull()).select(item_key, item_text).distinct().limit(max_items + 1).collect()]
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} held-out items")
-    held = corpus.sparkSession.sparkContext.broadcast(Items(sorted(rows)))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = held.value
-        for batch in batches:
-            ids = batch[key].tolist()
-            out = [(own.id[i], ids[d], n, at) for d, i, n, at in own.matches(batch["__t"].tolist())]
-            yield pd.DataFrame(out, columns=[item_key, key, "longest_match", "word_offset"])
-
+    spark = corpus.sparkSession
+    held = items.where(F.col(item_text).isNotNull()).select(item_key, item_text).distinct()
+    size = held.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    rounds = max(1, -(-size // round_bytes))
     docs = corpus.select(F.col(key), F.col(text).alias("__t")).where(F.col("__t").isNotNull() & (F.char_length("__t") >= MIN_WORDS))
     schema = f"`{item_key}` {dict(items.dtypes)[item_key]}, `{key}` {dict(corpus.dtypes)[key]}, longest_match int, word_offset int"
-    pairs = docs.mapInPandas(search, schema)
+
+    def one_round(r: int) -> DataFrame:
+        own = held.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(rounds)) == r) if rounds > 1 else held
+        sent = spark.sparkContext.broadcast(Items(sorted((x[0], x[1]) for x in own.collect())))  # about round_bytes
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, ids, texts, words_held = sent.value, [], [], 0
+
+            def found() -> pd.DataFrame:
+                out = [(own.id[i], ids[d], n, at) for d, i, n, at in own.matches(texts)]
+                return pd.DataFrame(out, columns=[item_key, key, "longest_match", "word_offset"])
+
+            for batch in batches:
+                ids += batch[key].tolist()
+                texts += batch["__t"].tolist()
+                words_held += int(sum(map(len, batch["__t"]))) // 6  # a word takes about as many characters
+                if words_held >= SHARD_WORDS:
+                    yield found()
+                    ids, texts, words_held = [], [], 0
+            if texts:
+                yield found()
+
+        return docs.mapInPandas(search, schema)
+
+    pairs = one_round(0)
+    for r in range(1, rounds):
+        pairs = pairs.unionByName(one_round(r))
     best = F.max(F.struct("longest_match", F.negate("word_offset").alias("at"))).alias("b")
     return pairs.groupBy(item_key, key).agg(best).select(item_key, key, F.col("b.longest_match").alias("longest_match"), F.negate("b.at").alias("word_offset"))
 
