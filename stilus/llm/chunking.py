@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2560, 200
+#: Repeated (key, digest) are sent to every task up to this many; beyond it they are joined by shuffle.
+MAX_SENT = 500_000
 #: Boundaries by falling strength; a cut lies at the end of the match.
 _BOUNDARIES = tuple(re.compile(p) for p in (r"\n[ \t\r]*\n\s*", r"\r?\n\s*", r"[.!?…。]+[\"'”’»)\]]*\s+", r"[,;:—–]\s+", r"\s+"))
 
@@ -60,6 +62,18 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     return out
 
 
+def one_of_each(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Of the rows with the same key and text one. Texts are compared by digest, and only those that
+    repeat are brought together."""
+    marked = rows.withColumn("__d", F.md5(F.col(text)))
+    again = marked.groupBy(key, "__d").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col(key).alias("__k"), F.col("__d").alias("__e"), F.lit(True).alias("__again"))
+    n = again.count()
+    if not n:
+        return rows
+    joined = marked.join(F.broadcast(again) if n <= MAX_SENT else again, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__d") == F.col("__e")), "left")
+    return joined.where("__again IS NULL").select(*rows.columns).unionByName(joined.where("__again").select(*rows.columns).distinct())
+
+
 def split_long_texts(texts: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """One row per piece: key, piece_no INT from 1, n_pieces INT, overlap_chars INT, piece STRING.
 
@@ -67,13 +81,13 @@ def split_long_texts(texts: DataFrame, key: str, text: str, limit: int = LIMIT,
     the JVM. Null: no row; the empty text: one empty piece; a text without any boundary is cut
     between characters. Rows of the same key and text come out once. Extra columns are ignored.
     """
-    rows = texts.select(F.col(key), F.col(text).alias("__t")).where(F.col("__t").isNotNull())
+    rows = one_of_each(texts.select(F.col(key), F.col(text).alias("__t")).where(F.col("__t").isNotNull()), key, "__t")
     schema = f"`{key}` {dict(rows.dtypes)[key]}, piece_no int, n_pieces int, overlap_chars int, piece string"
-    short = rows.where(F.char_length("__t") <= limit).distinct().select(key, F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("overlap_chars"), F.col("__t").alias("piece"))
+    short = rows.where(F.char_length("__t") <= limit).select(key, F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("overlap_chars"), F.col("__t").alias("piece"))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [(k, i, len(cut), core - start, t[start:end]) for k, t in zip(batch[key], batch["__t"]) for cut in [spans(t, limit, overlap)] for i, (start, core, end) in enumerate(cut, 1)]
             yield pd.DataFrame(out, columns=[key, "piece_no", "n_pieces", "overlap_chars", "piece"])
 
-    return rows.where(F.char_length("__t") > limit).distinct().mapInPandas(pieces, schema).unionByName(short)
+    return rows.where(F.char_length("__t") > limit).mapInPandas(pieces, schema).unionByName(short)
