@@ -158,6 +158,19 @@ def test_same_look(spark):
     assert canonical.same_look_pairs(df.limit(0), "post_id", "text", "a", "b").count() == 0
 
 
+def test_hot_look_alike_class(spark):
+    df = spark.range(1600).selectExpr("id AS post_id", "CASE id % 2 WHEN 0 THEN 'pаrk' ELSE 'park' END AS text").repartition(4)
+    assert canonical.same_look_pairs(df, "post_id", "text", "a", "b").count() == 800 * 800
+    assert {r[0] for r in canonical.canonicalize(df, "post_id", "text").select("canonical_text").distinct().collect()} == {"park"}
+
+
+def test_repeated_posts_come_out_once(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b " * 2000), (2, "b " * 2000), (None, "c"), (None, "c"), (3, None), (1, "z")], "post_id long, text string").repartition(5)
+    got = chunking.split_long_texts(df, "post_id", "text")
+    assert sorted((str(r["post_id"]), r["piece_no"]) for r in got.where("n_pieces = 1").collect()) == [("1", 1), ("1", 1), ("None", 1)]
+    assert got.where("post_id = 2").count() == 2
+
+
 # -- 4 ---------------------------------------------------------------------------------------
 @pytest.mark.parametrize("seed", range(6))
 def test_pieces_cover_and_fit(seed):
@@ -287,6 +300,25 @@ def test_leaks(spark):
     assert sorted((r["item_id"], r["doc_id"]) for r in leakage.find_leaks(df, "doc_id", "text", items, "item_id", "text").collect()) == [(7, 1), (7, 3)]
 
 
+def test_items_in_rounds_and_small_shards(spark, monkeypatch):
+    g = random.Random(6)
+    items = [(k, " ".join(g.choice("abcdefghijklmnopqrstuvwxyz") * g.randrange(1, 5) for _ in range(60))) for k in range(12)]
+    docs = [(i, " ".join(g.choice(["tree", "road", "lamp", "hat"]) for _ in range(50)) + " " + (items[i % 12][1] if i % 3 else "") + " end") for i in range(60)] + [(99, None)]
+    it, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    want = {(i % 12, i) for i in range(60) if i % 3}
+    for size in (1 << 20, 400):
+        assert {tuple(r)[:2] for r in leakage.find_leaks(df, "doc_id", "text", it, "item_id", "text", round_bytes=size).collect()} == want
+    assert leakage.find_leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
+
+
+def test_shards_end_where_they_are_full(monkeypatch):
+    items = leakage.Items([(1, " ".join(f"w{i}" for i in range(40)))])
+    texts = ["x y z " * 30 + " ".join(f"w{i}" for i in range(40))] * 5
+    whole = items.matches(texts)
+    monkeypatch.setattr(leakage, "SHARD_WORDS", 50)
+    assert items.matches(texts) == whole and len(whole) == 5
+
+
 def test_suffix_ranges_against_scan():
     g = np.random.default_rng(2)
     ids = g.integers(0, 3, 500).astype(np.int32)
@@ -318,6 +350,34 @@ def test_mixture(spark):
     assert {r["source"]: r["actual_tokens"] for r in report.collect()}["none"] == 0
 
 
+def test_every_shard_is_a_mixture_at_any_size():
+    for shards in (1, 7, 1000, 400_000):
+        sizes = mixing.group_sizes(shards)
+        assert sizes.sum() == shards and sizes.max() <= max(1, mixing.GROUP_SHARDS + 1)
+        share = np.array([0.3] + [0.7 / 19] * 19)
+        blocks = (share * shards * mixing.SHARD_TOKENS / mixing.BLOCK_TOKENS).astype(np.int64)
+        tree = mixing.splitting_tree(blocks, sizes, 3)
+        assert (tree.sum(0) == blocks).all()
+        for g in {0, len(sizes) // 2, len(sizes) - 1}:
+            leaf = mixing.splitting_tree(tree[g], int(sizes[g]), (3, g))
+            assert (leaf.sum(0) == tree[g]).all() and ((leaf > 0).sum(1) >= 8).all() and leaf[:, 0].min() > 0
+
+
+def test_mixture_in_many_shards(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word ', id, ' and a few more words of text number ', id) AS text", "concat('s', id % 3) AS source").repartition(5)
+    targets = spark.createDataFrame([("s0", 0.5, 2), ("s1", 0.25, 1), ("s2", 0.25, 1)], "source string, target_share double, max_repeats int")
+    mixture, report = mixing.mix(docs, targets, "doc_id", "text", "source", shard_tokens=2000)
+    rows = mixture.collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["shard"], []).append(r["position"])
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in shards.values()) and len({(r["doc"], r["copy"]) for r in rows}) == len(rows)
+    for r in report.collect():
+        assert abs(r["actual_share"] - r["target_share"]) < 0.002 and abs(r["actual_tokens"] - r["wanted_tokens"]) < 40
+    empty, report = mixing.mix(docs.limit(0), targets, "doc_id", "text", "source")
+    assert empty.count() == 0 and {r["actual_tokens"] for r in report.collect()} == {0}
+
+
 # -- 10 --------------------------------------------------------------------------------------
 def test_network_gradient():
     net = language.ByteNetwork(hidden=3)
