@@ -11,18 +11,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stilus.session import materialize
 
-def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
-    """Keys (`key`, `n`) holding at least `min_share` of the rows whose key isn't null.
 
-    At most 1 / min_share rows come out whatever the size of `df`, so the result may be broadcast.
-    The counting shuffles one row per key and map task. An empty table gives no row.
+#: Rows that tell which keys are heavy, about; which they are touches only how the work is spread.
+SAMPLE_ROWS = 200_000
+
+
+def heavy_keys(df: DataFrame, key: str, min_share: float, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Keys that hold about `min_share` of the rows or more, told by a sample of about `rows` rows.
+
+    Every key above that share of a table no larger than the sample is among them, and of a larger one
+    all but surely, keys from half the share on counting; at most 2 / min_share come out, so they may be
+    sent to every task. Results never depend on them. An empty table gives no row.
     """
     if not 0 < min_share <= 1:
         raise ValueError("min_share lies in (0, 1]")
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where(F.col("n") >= F.lit(min_share) * F.lit(float(total)))
+    n = df.count()
+    share = min(1.0, rows / max(n, 1))
+    some = df.select(key) if share == 1 else df.select(key).sample(False, share, seed=7)
+    counts = some.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") >= F.lit(min_share / 2 * share * n)).orderBy(F.desc("n"), key).limit(int(2 / min_share) + 1)
+    return df.sparkSession.createDataFrame([(r[0],) for r in top.collect()], df.select(key).schema)
 
 
 def with_salt(df: DataFrame, key: str, scatter: Sequence[str], min_share: float = 0.01, salts: int = 64, name: str = "salt") -> DataFrame:
@@ -79,7 +89,9 @@ def author_profile(texts: DataFrame, key: str = "labels", text: str = "text", sp
 
 
 def dominant_keys(df: DataFrame, key: str, share: float, scatter: Sequence[str]) -> DataFrame:
-    """Keys holding at least `share` of the rows with a key, from salted per-key counts."""
+    """Keys holding at least `share` of the rows with a key, from salted per-key counts: one pass, whose
+    counts also give the total."""
     counts = salted_aggregate(df, key, scatter, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")], min_share=share)
-    total = df.where(F.col(key).isNotNull()).count()
+    counts = materialize(counts, "key_counts")  # one narrow row per key
+    total = counts.agg(F.sum("n")).first()[0] or 0
     return counts.where(F.col("n") >= F.lit(share) * F.lit(float(total))).select(key)
