@@ -71,7 +71,8 @@ def id_table(counts: DataFrame, term: str, n: str, least: int, most: int, reserv
 
 def to_ids(df: DataFrame, key: str, tokens: str, ids: DataFrame, unknown: int = 1) -> DataFrame:
     """(key, ids ARRAY<BIGINT>): each token's id, `unknown` where it has none, in order."""
-    each = df.select(key, F.posexplode(tokens).alias("pos", "term")).join(ids, "term", "left").select(key, "pos", F.coalesce("id", F.lit(unknown)).alias("id"))
+    own = ids.select("term", F.col("id").alias("__i"))
+    each = df.select(key, F.posexplode(tokens).alias("pos", "term")).join(own, "term", "left").select(key, "pos", F.coalesce("__i", F.lit(unknown)).alias("id"))
     seq = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s")).select(key, F.transform("s", lambda x: x["id"]).alias("ids"))  # one record's tokens
     empty = F.array().cast("array<bigint>")
     return df.select(key).join(seq, key, "left").select(key, F.coalesce("ids", empty).alias("ids"))
@@ -97,7 +98,7 @@ def nested_chars(tokens: Column) -> Column:
 def dense_vectors(weights: DataFrame, key: str, ids: DataFrame, width: int) -> DataFrame:
     """(key, features ARRAY<DOUBLE>): the weights (key, gram, weight) laid out by the ids (gram, id) of
     at most `width` grams; records without any of them have no row."""
-    rows = weights.join(ids.select("gram", "id"), "gram").groupBy(key).agg(F.collect_list(F.struct("id", "weight")).alias("s"))  # at most width entries
+    rows = weights.join(ids.select("gram", F.col("id").alias("__i")), "gram").groupBy(key).agg(F.collect_list(F.struct(F.col("__i").alias("id"), "weight")).alias("s"))  # at most width entries
 
     def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np

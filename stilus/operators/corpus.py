@@ -313,6 +313,17 @@ def route(df: DataFrame, column: str, rules: dict[str, list[str]]) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown category: "), F.coalesce(F.col(column), F.lit("null")))))
 
 
+def route_by_name(column: str, rules: dict[str, list[str]], rest: str) -> Column:
+    """The part one of whose substrings the value holds, the first in order; else `rest`."""
+    out = None
+    for part, pieces in rules.items():
+        hit = F.lit(False)
+        for x in pieces:
+            hit = hit | F.col(column).contains(x)
+        out = F.when(hit, part) if out is None else out.when(hit, part)
+    return F.lit(rest) if out is None else out.otherwise(rest)
+
+
 def overlap(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """(column) values of a that are also in b, once."""
     return a.select(column).distinct().join(b.select(column), column, "left_semi")

@@ -3,7 +3,9 @@ distances of compression models. The features are tables of this library, the mo
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+import itertools
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,8 @@ def ngram_features(docs: DataFrame, train: DataFrame, key: str, text: str, grams
     n = train.count()
     ids = t.frequent(t.ngram_counts(train, grams, key), n, min_share, most)
     width = ids.count()
-    tf = t.array_counts(docs, [key], grams).withColumnRenamed("term", "gram").join(ids.select("gram", "n_docs"), "gram")
-    w = tf.select(key, "gram", ((1 + F.log(F.col("n").cast("double"))) * (F.log(F.lit(1.0 + n) / (1 + F.col("n_docs"))) + 1)).alias("weight"))
+    tf = t.array_counts(docs, [key], grams).withColumnRenamed("term", "gram").join(ids.select("gram", F.col("n_docs").alias("__docs")), "gram")
+    w = tf.select(key, "gram", ((1 + F.log(F.col("n").cast("double"))) * (F.log(F.lit(1.0 + n) / (1 + F.col("__docs"))) + 1)).alias("weight"))
     v = f.dense_vectors(w, key, ids, width)
     norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x))
     unit = v.select(key, norm.alias("norm"), "features").select(key, F.transform("features", lambda x: x / F.col("norm")).alias("features"))
@@ -81,3 +83,20 @@ def verification_scores(model, pairs: DataFrame, keys: list[str], features: str
     """(keys, score): the probability that a pair is of one author."""
     rows = pairs.select(*keys, array_to_vector(F.col(features) if isinstance(features, str) else features).alias("features"))
     return model.transform(rows).select(*keys, vector_to_array("probability")[1].alias("score"))
+
+
+def save_model(model, path: str) -> None:
+    """A fitted model in Spark ML's own format; an existing target is an error."""
+    model.write().save(path)
+
+
+def load_model(path: str) -> LogisticRegressionModel:
+    return LogisticRegressionModel.load(path)
+
+
+def sweep(grid: dict[str, list], run, best: str = "accuracy") -> list[dict]:
+    """Every combination of a grid's values with the figures that run(**values) gives, the best first.
+    A loop over settings on the driver; each run is distributed."""
+    names = sorted(grid)
+    rows = [dict(zip(names, values)) for values in itertools.product(*(grid[n] for n in names))]
+    return sorted((r | run(**r) for r in rows), key=lambda r: -r[best])

@@ -45,10 +45,15 @@ def subtract_model(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return d.select(*keys, F.when(n < 0, F.raise_error(F.lit("a model can't be taken from a smaller one"))).otherwise(n).cast("long").alias("n")).where("n > 0")
 
 
-def normalise_scores(scores: DataFrame, key: str, author: str, score: str) -> DataFrame:
-    """(key, author, err, rank): the score less the author's mean, ranked per document."""
-    mean = scores.groupBy(author).agg(F.avg(score).alias("m"))
-    err = scores.join(mean, author).select(key, author, F.round(F.col(score) - F.col("m"), 9).alias("err"))
+def normalise_scores(scores: DataFrame, key: str, author: str, score: str, corpus: DataFrame | None = None, plain: bool = False) -> DataFrame:
+    """(key, author, err, rank): the score less the author's mean over a corpus, ranked per document, ties
+    to the smaller author. corpus: scores of a set of known documents; none stands for the scored
+    documents themselves; `plain` leaves the scores as they are."""
+    if plain:
+        err = scores.select(key, author, F.round(score, 9).alias("err"))
+    else:
+        mean = (scores if corpus is None else corpus).groupBy(author).agg(F.avg(score).alias("m"))
+        err = scores.join(mean, author).select(key, author, F.round(F.col(score) - F.col("m"), 9).alias("err"))
     return err.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("err", author)))
 
 
@@ -100,6 +105,18 @@ def contrastive_loss(distance: Column, similarity: Column, same: Column, margin:
     return 0.5 * F.when(same == 1, F.pow(distance, 2.0)).otherwise(F.pow(F.greatest(F.lit(margin) - similarity, F.lit(0.0)), 2.0))
 
 
+#: Distances and kernels by name; both may be extended by further column functions.
+DISTANCES = {"euclidean": euclidean, "manhattan": manhattan, "shifted": shifted_euclidean, "cosine": lambda a, b: 1 - cosine(a, b)}
+KERNELS = {"exponential": kernel, "negated": negated}
+
+
+def similarity(a: Column, b: Column, distance: str = "euclidean", kernel_name: str = "exponential") -> Column:
+    """The similarity of two vectors by a distance and a kernel given by name."""
+    if distance not in DISTANCES or kernel_name not in KERNELS:
+        raise ValueError(f"known distances: {sorted(DISTANCES)}, kernels: {sorted(KERNELS)}")
+    return KERNELS[kernel_name](DISTANCES[distance](a, b))
+
+
 #: Bytes of one side that may be sent to every task; beyond it both sides are cut into blocks.
 SENT_BYTES = 64 << 20
 

@@ -151,6 +151,13 @@ def ppm_negate_order5(s, d):
     return _ppm_negate(s, d, 5)
 
 
+@query("SELECT k, md5(ctx) AS ctx_md5, md5(ch) AS ch_md5, count(*) AS n FROM (" + _PPM.format(keys="source", src="SELECT source, text FROM aa_texts WHERE text IS NOT NULL AND source IN ('imdb62', 'blogs50')") + ") GROUP BY k, ctx, ch")
+def ppm_merge(s, d):
+    model, keys = _ppm_model(s, d, 3), ["k", "ctx", "ch"]
+    a, b = (model.where(F.col("source") == x).select(*keys, "n") for x in ("imdb62", "blogs50"))
+    return m.merge_models(a, b, keys).select("k", F.md5("ctx").alias("ctx_md5"), F.md5("ch").alias("ch_md5"), "n")
+
+
 _D = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - r.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - r.embedding[i]::DOUBLE))))"
 _KNN = f"SELECT query, vec_id, distance, rank FROM (SELECT q.vec_id AS query, r.vec_id, round({_D}, 9) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_D}, 9), r.vec_id) AS rank FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 5"
 

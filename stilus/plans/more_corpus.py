@@ -176,6 +176,12 @@ def row_range_shards(s, d):
     return p.row_range_shard(table(s, d, "aa_texts").select("row_id"), "row_id", 10)
 
 
+@query("SELECT row_id, CASE WHEN contains(source, 'imdb') OR contains(source, 'amazon') THEN 'reviews' WHEN contains(source, 'blogs') THEN 'blogs' ELSE 'other' END AS part FROM aa_texts WHERE source IS NOT NULL")
+def name_route(s, d):
+    rules = {"reviews": ["imdb", "amazon"], "blogs": ["blogs"]}
+    return table(s, d, "aa_texts").where("source IS NOT NULL").select("row_id", c.route_by_name("source", rules, "other").alias("part"))
+
+
 # -- splits ---------------------------------------------------------------------------------------
 def _quota(sql, parts):
     cases, upto = "", 0

@@ -142,6 +142,19 @@ def soft_vote(s, d):
     return ev.soft_vote([x, other], "doc", "cand", "score")
 
 
+@query(f"WITH x AS (SELECT doc, cand, -score AS s FROM {_X}) SELECT doc, cand, round(s, 9) AS err, CAST(row_number() OVER (PARTITION BY doc ORDER BY round(s, 9), cand) AS INTEGER) AS rank FROM x")
+def score_matrix_plain(s, d):
+    x = _score_rows(s, d).select("doc", "cand", F.negate("score").alias("s"))
+    return m.normalise_scores(x, "doc", "cand", "s", plain=True)
+
+
+@query(f"WITH x AS (SELECT doc, cand, -score AS s FROM {_X}), c AS (SELECT cand, avg(s) AS m FROM x WHERE doc % 200 = 0 GROUP BY cand), e AS (SELECT doc, cand, round(s - m, 9) AS err FROM x JOIN c USING (cand)) SELECT doc, cand, err, CAST(row_number() OVER (PARTITION BY doc ORDER BY err, cand) AS INTEGER) AS rank FROM e")
+def score_matrix_corpus(s, d):
+    """Every second query document is the corpus that the means come from."""
+    x = materialize(_score_rows(s, d).select("doc", "cand", F.negate("score").alias("s")), "scores")
+    return m.normalise_scores(x, "doc", "cand", "s", corpus=x.where("doc % 200 = 0"))
+
+
 @query(f"""WITH d AS (SELECT q.vec_id AS query, r.vec_id AS k, q.label = r.label AS same, round({_D}, 9) AS d FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query, arg_min(k, (-d, k)) FILTER (same) AS positive, arg_min(k, (d, k)) FILTER (NOT same) AS negative FROM d GROUP BY query""")
 def hard_examples(s, d):

@@ -315,3 +315,35 @@ def test_stream_scores(spark, tmp_path):
     q = stream_word_counts(spark, str(src), str(out), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(str(out)).collect())) == [(1, 2), (2, 0)]
+
+
+def test_model_files_and_sweep(spark, tmp_path):
+    from stilus.operators import models as mo
+
+    df = spark.createDataFrame([(i, [float(i % 2), float(i)], i % 2) for i in range(40)], "id int, features array<double>, same int")
+    model = mo.verification_model(df)
+    mo.save_model(model, str(tmp_path / "model"))
+    a, b = (mo.verification_scores(x, df, ["id"]).collect() for x in (model, mo.load_model(str(tmp_path / "model"))))
+    assert a == b and all((r["score"] > 0.5) == (r["id"] % 2 == 1) for r in a)
+    found = mo.sweep({"x": [1, 2, 3], "y": [0, 1]}, lambda x, y: {"accuracy": x - y})
+    assert found[0] == {"x": 3, "y": 0, "accuracy": 3} and len(found) == 6
+
+
+def test_ngram_classifier_and_vote(spark):
+    from stilus.operators import models as mo
+
+    rows = [(i, i % 2, ("abab abba baab " if i % 2 else "xyxy yxxy xyyx ") * 5) for i in range(24)]
+    df = spark.createDataFrame(rows, "id int, label int, text string")
+    p = mo.ngram_attribution(df.where("id < 16"), df.where("id >= 16"), "id", "label", "text", "char", 1, 2, 50, iterations=10)
+    assert {r["id"]: r["candidate"] for r in mo.best_candidate(p, "id").collect()} == {i: i % 2 for i in range(16, 24)}
+    assert {r["id"]: r["candidate"] for r in ev.soft_vote([p, p], "id", "candidate", "probability").collect()} == {i: i % 2 for i in range(16, 24)}
+
+
+def test_named_functions_and_routes(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([0.0, 3.0], [4.0, 0.0], "CDs_and_Vinyl_5.json")], "a array<double>, b array<double>, f string")
+    r = df.select(m.similarity(F.col("a"), F.col("b"), "manhattan", "negated").alias("x"), c.route_by_name("f", {"cross": ["CDs", "Beauty"]}, "iid").alias("p")).first()
+    assert (r["x"], r["p"]) == (-7.0, "cross")
+    with pytest.raises(ValueError):
+        m.similarity(F.col("a"), F.col("b"), "no such")
