@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stilus.session import materialize
+
+#: Terms with their frequencies are sent to every task up to this many; beyond it they are joined by
+#: shuffle.
+SENT_TERMS = 300_000
+
 
 def normal_base(t: Column) -> Column:
     """Digits become 0; runs of a space and a line break or tab after it go; addresses written
@@ -124,8 +130,6 @@ def ngram_counts(df: DataFrame, grams: Column, key: str) -> DataFrame:
 def frequent(counts: DataFrame, total: int, min_share: float, most: int) -> DataFrame:
     """(gram, n, n_docs, id): grams in at least min_share of `total` documents, at most `most`, the
     ones that occur most, ties by gram; numbered from 0 by gram. most bounds what one task sorts."""
-    from pyspark.sql import Window
-
     top = counts.where(F.col("n_docs") >= min_share * total).orderBy(F.desc("n"), "gram").limit(most)
     return top.withColumn("id", F.row_number().over(Window.orderBy("gram")) - 1)
 
@@ -135,18 +139,19 @@ def tfidf(df: DataFrame, key: str, grams: Column, min_docs: int = 2, sublinear:
     1 + ln of it; scaled to length 1 per document and rounded unless told otherwise. N is the number of rows; grams
     in fewer than min_docs rows or min_share of them have no weight. `key` must be unique.
 
-    Counts are made within each document; only the document frequencies and what belongs to one
-    document again are shuffled."""
+    Counts are made within each document. While the terms' frequencies are few enough to be sent to
+    every task, only they and what belongs to one document again are shuffled."""
     tf = array_counts(df, [key], grams)
     total = df.count()
-    seen = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= F.greatest(F.lit(min_docs), F.lit(min_share * total)))
+    seen = materialize(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= F.greatest(F.lit(min_docs), F.lit(min_share * total))), "df")
+    if seen.count() <= SENT_TERMS:
+        seen = F.broadcast(seen)
     base = 1 + F.log(F.col("n").cast("double")) if sublinear else F.col("n").cast("double")
     raw = tf.join(seen, "term").select(key, F.col("term").alias("gram"), (base * (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1)).alias("w"))
     if not scaled:
         return raw.withColumnRenamed("w", "weight")
-    per = raw.groupBy(key).agg(F.collect_list(F.struct("gram", "w")).alias("g"))  # the terms of one document
-    norm = F.sqrt(F.aggregate("g", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return per.select(key, norm.alias("norm"), F.explode("g").alias("g")).select(key, "g.gram", F.round(F.col("g.w") / F.col("norm"), 6).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # the terms of one document
+    return raw.select(key, "gram", F.round(F.col("w") / norm, 6).alias("weight"))
 
 
 def share_of_length(df: DataFrame, key: str, items: Column) -> DataFrame:
@@ -228,7 +233,5 @@ def legomena_ratio(df: DataFrame, key: str, items: Column) -> DataFrame:
 
 def vocabulary(counts: DataFrame, term: str, n: str, most: int, reserved: int = 5) -> DataFrame:
     """(term, id): the `most` most frequent terms, numbered after the reserved ids; ties by term."""
-    from pyspark.sql import Window
-
     top = counts.orderBy(F.desc(n), term).limit(most)  # at most `most` rows: one task may number them
     return top.select(term, (F.row_number().over(Window.orderBy(F.desc(n), F.col(term))) + reserved - 1).cast("long").alias("id"))

@@ -8,7 +8,7 @@ from stilus.functions import text as t
 from stilus.operators import evaluation as ev
 from stilus.operators import scoring as m
 from stilus.operators.corpus import uniform
-from stilus.session import table
+from stilus.session import spread, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -24,7 +24,7 @@ def query(sql=None):
 
 
 def _texts(s, d):
-    return table(s, d, "aa_texts").where("text IS NOT NULL").select("row_id", "text")
+    return spread(table(s, d, "aa_texts").where("text IS NOT NULL").select("row_id", "text"))
 
 
 _T = "FROM aa_texts WHERE text IS NOT NULL"

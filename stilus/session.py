@@ -15,6 +15,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, rows read from files, in at least as many partitions as tasks run side by side.
+
+    A table of fewer files or row groups than that would leave cores idle in what is dear per row; its
+    rows are dealt out first. A table of more partitions, as any large one is, stays as it lies.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this session that every executor can reach.
 
