@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stilus.llm.lookalike import INVISIBLE, LIGATURES, drawn_alike
+from stilus.session import spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 
@@ -95,9 +96,13 @@ CUES = (
     "mi chiamo", "il mio nome è", "chamo-me", "o meu nome é", "ik heet", "mijn naam is",
 )
 _CUED = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, CUES))})\s+((?:{_W}[\w'’-]*\.?[^\S\n]+){{1,4}}{_W}[\w'’-]+)", re.I)
-_FOLDED_CUES = tuple(c.casefold() for c in CUES)
+#: A word of each cue that plain text seldom has.
+_CUE_WORDS = frozenset(_w.casefold() for _w in "name called call signed truly sincerely regards appelle nom signé heiße heisse unterzeichnet llamo nombre firmado chiamo nome chamo heet naam".split())
 _PARTICLES = frozenset("van von der den de del della di da du le la zu ter ten bin ibn al el".split())
 _STARTS = frozenset(GIVEN_NAMES) | frozenset(TITLES) | {"m"}
+#: Starts that are common words too count in these forms only.
+_ODD_STARTS = ("M.", "m.", "Ella", "ELLA")
+_PLAIN_STARTS = _STARTS - {"m", "ella"}
 _LETTERS = re.compile(rf"{_W}+")
 
 _COMPOUND = re.compile(rf"{_W}{{3,}}(?:str(?:aße|asse|\.)|weg|gasse|platz|allee|ufer|damm|ring|steig|pfad|chaussee)\s+\d", re.I)
@@ -114,6 +119,7 @@ _DIGIT_WORDS = {
     **dict(zip("cero uno dos tres cuatro cinco seis siete ocho nueve".split(), "0123456789")),
     "oh": "0", "zwo": "2",
 }
+assert all(_w == _w.casefold() for _w in _DIGIT_WORDS)
 _digit_word = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:(?:{_digit_word})(?:[\s,.-]+|$)){{6,}}(?:(?:{_digit_word})(?!\w))?|(?<!\w)(?:(?:{_digit_word})[\s,.-]+){{6,}}(?:{_digit_word})(?!\w)", re.I)
 _DOT_BARE, _AT_BARE = "dot|punto|punkt|point|ponto", "arroba|ät|@"
@@ -138,6 +144,7 @@ class Traced:
 
     def __init__(self, source: str):
         self.text, self.start, self.end = source, None, None  # None: character i is source[i]
+        self.words: list[str] = []
 
     def _spans(self) -> None:
         if self.start is None:
@@ -183,6 +190,11 @@ def _plain_address(m: re.Match) -> str | None:
     return out if EMAIL.fullmatch(out) else None
 
 
+def _words(text: str) -> list[str]:
+    """The runs of letters of a text, folded as patterns without regard to case match them."""
+    return _LETTERS.findall(text.casefold().replace("ı", "i").replace("i̇", "i"))
+
+
 def undisguise(text: str) -> Traced:
     """The text without disguises, traced to its source."""
     t = Traced(text)
@@ -195,8 +207,10 @@ def undisguise(text: str) -> Traced:
     if _TRIGGER.search(t.text):
         t.rewrite(DISGUISED, _plain_address)
         t.rewrite(LOOSE, _plain_address)
-    if _SPELLED_START.search(t.text):
+    t.words = _words(t.text)
+    if sum(map(_DIGIT_WORDS.__contains__, t.words)) >= 3 and _SPELLED_START.search(t.text):
         t.rewrite(SPELLED, lambda m: "".join(_DIGIT_WORDS[w.lower()] for w in re.findall(_digit_word, m.group(0), re.I)) + (" " if m.group(0)[-1:].isspace() else ""))
+        t.words = _words(t.text)
     return t
 
 
@@ -206,8 +220,9 @@ def _is_name(m: re.Match) -> bool:
     if last.lower() in NOT_SURNAMES or surname.lower() in NOT_SURNAMES or last.lower() in _STARTS:
         return False
     if whole.islower():
-        # a text in small letters: a title as a word of its own ("die frau ging") is no evidence
-        return len(last) >= 4 and not whole.startswith(("don ", "sir ", "frau ", "herr ", "m. ", "dr ", "sr "))
+        # only in a text in small letters throughout, and there a title as a word of its own ("die frau
+        # ging") is no evidence
+        return m.string.islower() and len(last) >= 4 and not whole.startswith(("don ", "sir ", "frau ", "herr ", "m. ", "dr ", "sr "))
     return last[0].isupper() and whole[0].isupper()
 
 
@@ -263,13 +278,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
             claim(*m.span(1), "id_number")
         for m in PHONE.finditer(s):
             claim(*m.span(), "phone")
-    # letters are folded as re.I matches them
-    low = s.casefold().replace("ı", "i").replace("i̇", "i")
-    if not _STARTS.isdisjoint(_LETTERS.findall(low)):
+    if not _PLAIN_STARTS.isdisjoint(t.words) or any(w in s for w in _ODD_STARTS):
         for m in NAME.finditer(s):
             if _is_name(m):
                 claim(*m.span(), "person_name")
-    if any(c in low for c in _FOLDED_CUES):
+    if not _CUE_WORDS.isdisjoint(t.words):
         for m in _CUED.finditer(s):
             if span := _cued_name(m):
                 claim(*span, "person_name")
@@ -300,7 +313,7 @@ def redact_table(texts: DataFrame, key: str, text: str, field: str, with_text: b
             out = pd.DataFrame({"field": field, "rec_id": batch["rec_id"], "kinds": [k for _, k in done]})
             yield out.assign(redacted=[r for r, _ in done]) if with_text else out
 
-    rows = texts.select(F.col(key).cast("long").alias("rec_id"), F.col(text).alias("__t"))
+    rows = spread(texts.select(F.col(key).cast("long").alias("rec_id"), F.col(text).alias("__t")))
     return rows.mapInPandas(run, "field string, rec_id long, kinds array<string>" + (", redacted string" if with_text else ""))
 
 
