@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stilus.llm.lookalike import visible_column
-from stilus.session import materialize
+from stilus.session import materialize, spread
 
 COLLATION = "UNICODE"
 #: Digests are sent to every task up to this many; beyond it they are joined by shuffle.
@@ -39,7 +39,7 @@ def classes(texts: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     once; extra columns are ignored; an empty table gives none.
     """
     spark = texts.sparkSession
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = spread(texts.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")))
     plain = F.regexp_replace(visible_column(F.col("text")), r"[ -~]?\p{M}+|[^ -~]+", "")
     members = materialize(rows.select("id", _digest(F.col("text")).alias("d"), F.xxhash64(plain).alias("block")), "looks")
     blocks = members.groupBy("block").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("block")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stilus.llm.lookalike import visible
+from stilus.session import spread
 
 CODES = ("en", "fr", "de", "es", "it", "pt", "nl")
 # How the languages are written in labels, in lower case.
@@ -338,7 +339,7 @@ def _per_document(docs: DataFrame, key: str, text: str, label: str | None, net:
 
     given = F.col(label) if label else F.lit(None)
     rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t"), given.cast("string").alias("__l")).where(F.col("__t").isNotNull() & (F.trim("__t") != ""))
-    return rows.mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, {schema}")
+    return spread(rows).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, {schema}")
 
 
 def train_on(docs: DataFrame, key: str, text: str, label: str, per_language: int = 150, excerpt: int = 4000) -> ByteNetwork:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stilus.llm.lookalike import words_text
+from stilus.session import spread
 
 SEED, MIN_WORDS, EDITS_PER_WORD = 7, 28, 10
 #: Words in one shard's suffix array at most, unless a single document is longer.
@@ -214,7 +215,7 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
     held = items.where(F.col(item_text).isNotNull()).select(item_key, item_text).distinct()
     size = held.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     rounds = max(1, -(-size // round_bytes))
-    docs = corpus.select(F.col(key), F.col(text).alias("__t")).where(F.col("__t").isNotNull() & (F.char_length("__t") >= MIN_WORDS))
+    docs = spread(corpus.select(F.col(key), F.col(text).alias("__t")).where(F.col("__t").isNotNull() & (F.char_length("__t") >= MIN_WORDS)))
     schema = f"`{item_key}` {dict(items.dtypes)[item_key]}, `{key}` {dict(corpus.dtypes)[key]}, longest_match int, word_offset int"
 
     def one_round(r: int) -> DataFrame:

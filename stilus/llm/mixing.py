@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stilus.session import materialize
+from stilus.session import materialize, spread
 
 BLOCK_TOKENS, SHARD_TOKENS = 20_000, 1_000_000
 #: Shards of one group at most, where there are more than GROUPS of them.
@@ -65,7 +65,7 @@ def sized_texts(docs: DataFrame, key: str, text: str, source: str, path: str | N
             yield batch[["doc", "source", "d", "n_tokens"]]
 
     slim = rows.select(F.col(key).cast("long").alias("doc"), F.col(source).alias("source"), F.unhex(F.sha2(F.col(text), 256)).alias("d"), F.col(text).alias("t"))
-    each = slim.mapInPandas(count, "doc long, source string, d binary, n_tokens long")
+    each = spread(slim).mapInPandas(count, "doc long, source string, d binary, n_tokens long")
     return each.groupBy("d").agg(F.min(F.struct("doc", "source")).alias("s"), F.count(F.lit(1)).alias("copies"), F.max("n_tokens").alias("n_tokens")).select("s.doc", "s.source", "copies", "n_tokens")
 
 

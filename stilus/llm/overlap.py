@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stilus.llm.lookalike import words_text
-from stilus.session import materialize
+from stilus.session import materialize, spread
 
 MIN_WORDS = 10
 #: Slots of the table of run counts, one byte each where it is sent to every task: a fixed size.
@@ -300,7 +300,7 @@ def classes(records: DataFrame, key: str, text: str, is_left, min_words: int = M
     """(rows, counts), written: rows (id, is_left, class, words) of the records of at least min_words
     words, where equal words are an equal class; and partial counts (block, blob) of these rows' runs
     on the two sides, taken while the texts are at hand."""
-    rows = records.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.coalesce(is_left, F.lit(False)).alias("is_left"), F.col(text).alias("words"))
+    rows = spread(records.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.coalesce(is_left, F.lit(False)).alias("is_left"), F.col(text).alias("words")))
 
     def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, counts = _Codes(), None
