@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -44,14 +45,21 @@ _PY = _Table({ord(k): v for k, v in (PAIRS | LIGATURES).items()} | {ord(c): None
 _PY_KEEP = _Table({ord(k): v for k, v in PAIRS.items()})
 
 
+#: Any character that mapping changes: most texts with accents have none.
+_MAPPED = re.compile("[" + re.escape("".join(PAIRS) + "".join(LIGATURES) + INVISIBLE) + "]")
+_PAIRED = re.compile("[" + re.escape("".join(PAIRS)) + "]")
+
+
 def visible(text: str) -> str:
     """`text` with every look-alike mapped, what can't be seen removed, and accents composed."""
-    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_PY))
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFC", text.translate(_PY) if _MAPPED.search(text) else text)
 
 
 def drawn_alike(text: str) -> str:
     """As `visible`, but each character stays at its position (nothing removed or composed)."""
-    return text if text.isascii() else text.translate(_PY_KEEP)
+    return text if text.isascii() or not _PAIRED.search(text) else text.translate(_PY_KEEP)
 
 
 def _is_ascii(text: Column) -> Column:

@@ -109,6 +109,11 @@ _COMPOUND = re.compile(rf"{_W}{{3,}}(?:str(?:aße|asse|\.)|weg|gasse|platz|allee
 _STREET_WORDS = frozenset(
     "street st road rd avenue ave lane ln close court ct drive dr terrace way place pl square sq boulevard blvd crescent gardens row hill parkway highway mews flat apt apartment unit suite bis ter quater rue chemin allée impasse quai route cours passage calle avenida avda plaza paseo camino carretera ronda travesía vía de du des del la le les los las el straße strasse weg gasse platz allee a b c d".split()
 )
+#: Words one of which every address has, unless its street's name ends like one.
+_STREETS = frozenset(
+    "street st road rd avenue ave lane ln close court ct drive dr terrace way place pl square sq boulevard blvd crescent gardens row hill parkway highway mews rue chemin allée impasse quai route cours passage calle avenida avda plaza paseo camino carretera ronda travesía vía weg gasse platz allee straße strasse".casefold().split()
+)
+_SUFFIX = re.compile(r"(?:str(?:aße|asse|\.)|weg|gasse|platz|allee|ufer|damm|ring|steig|pfad|chaussee)\s+\d", re.I)
 #: Words that stand between a number and "drive", "close" or "way" in plain sentences.
 _NO_STREET = frozenset("before after you we they he she it i me him her us them to and or but the this that these those can could will would may might must should did does do is are was were be been have has had not only very so too more most people minutes hours days weeks months years times miles on in at by from with without".split())
 
@@ -132,6 +137,8 @@ DISGUISED = re.compile(rf"{_LOCAL}{_AT}{_DOMAIN}(?:(?:\.|{_DOT}){_DOMAIN}){{1,4}
 #: A bare "at" counts only before a spelled dot.
 LOOSE = re.compile(rf"{_LOCAL}\s+at\s+({_DOMAIN})(?:\.{_DOMAIN}){{0,3}}{_DOT}{_DOMAIN}(?:(?:\.|{_DOT}){_DOMAIN}){{0,3}}", re.I)
 _TRIGGER = re.compile(rf"[\[({{<]\s*(?:{_AT_IN}|{_DOT_IN})\s*[\])}}>]|\s(?:{_AT_BARE}|{_DOT_BARE})\s", re.I)
+#: The bare words that such a disguise is made of; otherwise it has a bracket or an @.
+_DISGUISE_WORDS = frozenset(_w.casefold() for _w in f"{_DOT_BARE}|{_AT_BARE}".split("|") if _w != "@")
 _ANY_DOT, _ANY_AT = re.compile(_DOT, re.I), re.compile(rf"{_AT}|\s+at\s+", re.I)
 _HIDDEN = re.compile("[" + re.escape(INVISIBLE + "".join(LIGATURES)) + "̀-ͯ]")
 _WIDE = re.compile(r" {2,}")
@@ -204,10 +211,13 @@ def undisguise(text: str) -> Traced:
             t.rewrite(_HIDDEN, _accented)
     if "  " in t.text:
         t.rewrite(_WIDE, lambda m: " ")
-    if _TRIGGER.search(t.text):
+    t.words = _words(t.text)
+    if (not _DISGUISE_WORDS.isdisjoint(t.words) or any(c in t.text for c in "@([{<")) and _TRIGGER.search(t.text):
+        before = t.text
         t.rewrite(DISGUISED, _plain_address)
         t.rewrite(LOOSE, _plain_address)
-    t.words = _words(t.text)
+        if t.text != before:
+            t.words = _words(t.text)
     if sum(map(_DIGIT_WORDS.__contains__, t.words)) >= 3 and _SPELLED_START.search(t.text):
         t.rewrite(SPELLED, lambda m: "".join(_DIGIT_WORDS[w.lower()] for w in re.findall(_digit_word, m.group(0), re.I)) + (" " if m.group(0)[-1:].isspace() else ""))
         t.words = _words(t.text)
@@ -269,9 +279,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in EMAIL.finditer(s):
             claim(*m.span(), "email")
     if _DIGIT.search(s):
-        for m in ADDRESS.finditer(s):
-            if _is_address(m):
-                claim(*m.span(), "street_address")
+        if not _STREETS.isdisjoint(t.words) or _SUFFIX.search(s):
+            for m in ADDRESS.finditer(s):
+                if _is_address(m):
+                    claim(*m.span(), "street_address")
         for m in ID_NUMBER.finditer(s):
             claim(*m.span(), "id_number")
         for m in NAMED_ID.finditer(s):
