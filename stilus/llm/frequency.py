@@ -5,22 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stilus.functions.text import array_counts
+
 #: Ids held by several rows are sent to every task up to this many; beyond it they are joined by shuffle.
 MAX_SENT = 1_000_000
 
 
 def term_counts(records: DataFrame) -> DataFrame:
-    """(term, n) of each distinct element of each array `s`: the array is sorted, each run of equals
-    told by where it begins and where the next one does. Null and empty elements aren't terms.
-
-    The sorted array passes a generator of one row: the optimiser doesn't carry an expression through
-    it, so no array is sorted again for each of its elements."""
-    s, st = F.col("s"), F.col("st")
-    kept = records.select(F.explode(F.array(F.array_sort(F.filter("s", lambda t: t.isNotNull() & (t.cast("string") != ""))))).alias("s"))
-    begun = kept.select("s", F.explode(F.array(F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i)), lambda i: i.isNotNull()))).alias("st"))
-    ends = F.slice(F.concat(F.slice(st, 2, F.size(st)), F.array(F.size(s))), 1, F.size(st))
-    each = begun.select(F.explode(F.zip_with(st, ends, lambda x, y: F.struct(F.get(s, x).alias("term"), (y - x).alias("n")))).alias("e"))
-    return each.select("e.term", "e.n")
+    """(term, n) of each distinct element of each array `s`, counted within its row; null and empty
+    elements aren't terms."""
+    return array_counts(records, [], F.filter("s", lambda t: t.isNotNull() & (t.cast("string") != "")))
 
 
 def records_of(df: DataFrame, key: str, terms: str) -> tuple[DataFrame, int]:

@@ -8,6 +8,18 @@ from stilus.llm import abuse, canonical, chunking, frequency, language, leakage,
 from stilus.session import table
 
 
+_FITTED: dict = {}
+
+
+def _fitted(spark, folder, name, fit):
+    """A model of a folder's tables, fitted once in a session while the folder's files are the same."""
+    files = tuple(sorted(table(spark, folder, "documents").inputFiles()))
+    key = (spark.sparkContext.applicationId, name, files)
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
 def _p1(spark, folder):
     return overlap.cross_split_classes(table(spark, folder, "aa_texts"), "row_id", "text", F.col("split") == "train")
 
@@ -17,11 +29,14 @@ def p1_found(spark, folder):
 
 
 def p1_report(spark, folder):
-    """Per split and source: rows, and rows that recur in the train split."""
+    """Per split and source: rows, rows that recur in the train split, and their pairs with train rows.
+    Pairs are counted from the sizes of the classes; none is expanded."""
     members, links = _p1(spark, folder)
-    hit = members.where("NOT is_left").join(links.select(F.col("right").alias("class")).distinct(), "class", "left_semi").select(F.col("id").alias("row_id"), F.lit(1).alias("hit"))
+    train = members.where("is_left").groupBy(F.col("class").alias("left")).agg(F.count("*").alias("n"))
+    pairs = links.join(train, "left").groupBy(F.col("right").alias("class")).agg(F.sum("n").alias("pairs"))
+    hit = members.where("NOT is_left").join(pairs, "class").groupBy(F.col("id").alias("row_id")).agg(F.sum("pairs").alias("pairs"))
     rows = table(spark, folder, "aa_texts").where("split IS NULL OR split <> 'train'").select("row_id", "split", "source").join(hit, "row_id", "left")
-    return rows.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("hit").alias("n_in_train"))
+    return rows.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("pairs").alias("n_in_train"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"))
 
 
 def p3_found(spark, folder):
@@ -46,7 +61,7 @@ def _p5(spark, folder, run):
 
 
 def p5_found(spark, folder):
-    return _p5(spark, folder, pii.kinds_found).distinct()
+    return _p5(spark, folder, pii.kinds_found)
 
 
 def p5_redacted(spark, folder):
@@ -83,19 +98,19 @@ def p8_clean(spark, folder):
 
 def p10_segments(spark, folder):
     docs = table(spark, folder, "documents")
-    net = language.train_on(docs, "doc_id", "text", "lang")
+    net = _fitted(spark, folder, "language", lambda: language.train_on(docs, "doc_id", "text", "lang"))
     return language.label_documents(docs, "doc_id", "text", net)
 
 
 def p10_found(spark, folder):
     docs = table(spark, folder, "documents")
-    net = language.train_on(docs, "doc_id", "text", "lang")
+    net = _fitted(spark, folder, "language", lambda: language.train_on(docs, "doc_id", "text", "lang"))
     return language.mislabelled(docs, "doc_id", "text", "lang", net)
 
 
 def p6_scores(spark, folder):
     docs = table(spark, folder, "documents")
-    return abuse.score_documents(docs, *abuse.fit(docs, table(spark, folder, "doc_labels")))
+    return abuse.score_documents(docs, *_fitted(spark, folder, "abuse", lambda: abuse.fit(docs, table(spark, folder, "doc_labels"))))
 
 
 def p6_found(spark, folder):
