@@ -200,16 +200,16 @@ def pair_label(s, d):
     return t.join(b, F.col("row_id") + 1 == F.col("seq1")).select(F.col("row_id").alias("seq0"), "seq1", (F.col("labels") == F.col("l1")).cast("int").alias("same"))
 
 
-@query("WITH a AS (SELECT labels AS author, source FROM aa_texts WHERE split = 'AA_val'), b AS (SELECT labels AS author, source FROM aa_texts WHERE split = 'AA_test') SELECT author, source, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM (SELECT DISTINCT * FROM b) x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.author = x.author AND a.source = x.source)) GROUP BY author, source")
+@query("WITH a AS (SELECT labels AS author, source FROM aa_texts WHERE split = 'train'), b AS (SELECT labels AS author, source FROM aa_texts WHERE split IS DISTINCT FROM 'train') SELECT author, source, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM (SELECT DISTINCT * FROM b) x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.author = x.author AND a.source = x.source)) GROUP BY author, source")
 def union_keep_first(s, d):
     t = table(s, d, "aa_texts").select("split", F.col("labels").alias("author"), "source")
-    return c.union_new(t.where("split = 'AA_val'").drop("split"), t.where("split = 'AA_test'").drop("split")).groupBy("author", "source").agg(F.count("*").alias("n"))
+    return c.union_new(t.where("split = 'train'").drop("split"), t.where("split IS DISTINCT FROM 'train'").drop("split")).groupBy("author", "source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT author, count(*) AS n FROM (SELECT labels AS author FROM aa_texts WHERE split = 'AA_val' AND labels IS NOT NULL UNION ALL SELECT labels + (SELECT max(labels) FROM aa_texts WHERE split = 'AA_val') + 1 FROM aa_texts WHERE split = 'AA_test' AND labels IS NOT NULL) GROUP BY author")
+@query("SELECT author, count(*) AS n FROM (SELECT labels AS author FROM aa_texts WHERE split = 'train' AND labels IS NOT NULL UNION ALL SELECT labels + (SELECT max(labels) FROM aa_texts WHERE split = 'train') + 1 FROM aa_texts WHERE split IS DISTINCT FROM 'train' AND labels IS NOT NULL) GROUP BY author")
 def combine_corpora(s, d):
     t = table(s, d, "aa_texts").where("labels IS NOT NULL").select("split", F.col("labels").alias("author"))
-    return c.combine(t.where("split = 'AA_val'").drop("split"), t.where("split = 'AA_test'").drop("split")).groupBy("author").agg(F.count("*").alias("n"))
+    return c.combine(t.where("split = 'train'").drop("split"), t.where("split IS DISTINCT FROM 'train'").drop("split")).groupBy("author").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, CAST(i AS INTEGER) AS no, md5(substr(text, CAST(i * 2560 + 1 AS BIGINT), 2560)) AS h FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 2560.0) AS BIGINT)))) AS i FROM documents WHERE text IS NOT NULL)")

@@ -145,18 +145,18 @@ def texts_per_author(s, d):
     return c.texts_per_author(_aa(s, d))
 
 
-@query(f"SELECT author, seq FROM ({AA}) WHERE author BETWEEN 0 AND 1000000 UNION ALL SELECT author, seq FROM ({_sql("split = 'AA_val'")})")
+@query(f"SELECT author, seq FROM ({AA}) UNION ALL SELECT author, seq FROM ({_sql("split IS DISTINCT FROM 'train'")})")
 def concat_frames(s, d):
-    return _aa(s, d).where("author BETWEEN 0 AND 1000000").unionByName(_aa(s, d, "split = 'AA_val'")).select("author", "seq")
+    return _aa(s, d).unionByName(_aa(s, d, "split IS DISTINCT FROM 'train'")).select("author", "seq")
 
 
-_A, _B = (f"(SELECT DISTINCT labels FROM aa_texts WHERE split = '{x}' AND labels IS NOT NULL)" for x in ("AA_val", "AA_test"))
+_A, _B = (f"(SELECT DISTINCT labels FROM aa_texts WHERE split {x} 'train' AND labels IS NOT NULL)" for x in ("=", "IS DISTINCT FROM"))
 
 
 @query(f"SELECT labels, 'left' AS side FROM {_A} WHERE labels NOT IN (SELECT * FROM {_B}) UNION ALL SELECT labels, 'right' FROM {_B} WHERE labels NOT IN (SELECT * FROM {_A})")
 def set_differences(s, d):
     t = table(s, d, "aa_texts").where("labels IS NOT NULL")
-    return c.differences(t.where("split = 'AA_val'"), t.where("split = 'AA_test'"), "labels")
+    return c.differences(t.where("split = 'train'"), t.where("split IS DISTINCT FROM 'train'"), "labels")
 
 
 @query("SELECT doc_id AS id, source FROM documents WHERE source IS NOT NULL UNION ALL SELECT row_id, source FROM aa_texts WHERE row_id NOT IN (SELECT doc_id FROM documents WHERE source IS NOT NULL)")
@@ -297,20 +297,20 @@ def finalize_cross_statistics(s, d):
 
 @query()
 def finalize_pair_statistics(s, d):
-    """Pairs sampled from the evaluation sets, by label."""
-    return z.summary({}, {k: z.sampled_pairs(_aa(s, d, _SETS[k])) for k in ("aa_val", "aa_test")})
+    """Pairs sampled from each set, by label."""
+    return z.summary({}, {k: z.sampled_pairs(_aa(s, d, _SETS[k])) for k in _SETS})
 
 
 @query()
 def quality_av_labels(s, d):
-    return z.label_values(z.sampled_pairs(_aa(s, d, "split = 'AA_val'")))
+    return z.label_values(z.sampled_pairs(_aa(s, d)))
 
 
 @query()
 def quality_same_texts(s, d):
-    """Texts of the validation set that its sampled pairs lack: those of authors with one text that no
-    other text drew."""
-    aa = _aa(s, d, "split = 'AA_val'")
+    """Texts that the pairs sampled from them lack: those of authors with one text that no other text
+    drew."""
+    aa = _aa(s, d)
     return z.same_texts(aa, z.sampled_pairs(aa))
 
 

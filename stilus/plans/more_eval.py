@@ -230,23 +230,24 @@ def ppm_author_models(s, d):
     return ppm.model_counts(aa, "labels", "text").groupBy("c", "k").agg(F.count("*").alias("n_entries"), F.sum("n").alias("n"))
 
 
-def _ppm_pairs(s, d, split):
-    aa = c.canonical(table(s, d, "aa_texts").where(F.col("split") == split), "labels", "row_id", "text")
+def _ppm_pairs(s, d, where="true"):
+    aa = c.canonical(table(s, d, "aa_texts").where(where), "labels", "row_id", "text")
     rows = z.sampled_pairs(aa).withColumn("pair", F.xxhash64("text0", "text1", "same"))
     return ppm.pair_features(rows, ["pair", "same"], "text0", "text1").dropDuplicates(["pair"])
 
 
 @query()
 def ppm_pair_features(s, d):
-    return _ppm_pairs(s, d, "AA_val").select("pair", "same", *[F.round(x, 6).alias(x) for x in ("d1", "d2", "mean", "gap")])
+    return _ppm_pairs(s, d).select("pair", "same", *[F.round(x, 6).alias(x) for x in ("d1", "d2", "mean", "gap")])
 
 
 @query()
 def ppm_verification(s, d):
-    """A logistic regression on the distances of the validation pairs, the test pairs scored by it."""
+    """A logistic regression on the distances of pairs of the training split, pairs of the other splits
+    scored by it."""
     vector = F.array("d1", "d2", "mean", "gap")
-    model = mo.verification_model(materialize(_ppm_pairs(s, d, "AA_val").dropna(), "ppm_val"), features=vector)
-    return mo.verification_scores(model, _ppm_pairs(s, d, "AA_test").dropna(), ["pair", "same"], vector)
+    model = mo.verification_model(materialize(_ppm_pairs(s, d, "split = 'train'").dropna(), "ppm_train"), features=vector)
+    return mo.verification_scores(model, _ppm_pairs(s, d, "split IS DISTINCT FROM 'train'").dropna(), ["pair", "same"], vector)
 
 
 # -- classifiers ------------------------------------------------------------------------------------
@@ -274,18 +275,18 @@ def ngram_ensemble(s, d):
 
 @query()
 def difference_verification(s, d):
-    """Absolute differences of standardised n-gram vectors, a logistic regression on the validation
-    pairs, the test pairs scored by it."""
+    """Absolute differences of standardised n-gram vectors, a logistic regression on pairs of the training
+    split, pairs of the other splits scored by it."""
     from stilus.functions import text as t
 
-    aa = table(s, d, "aa_texts").where("text IS NOT NULL AND labels IS NOT NULL AND split IN ('AA_val', 'AA_test')").select("row_id", "split", "labels", "text")
+    aa = table(s, d, "aa_texts").where("text IS NOT NULL AND labels IS NOT NULL").select("row_id", (F.col("split") == "train").alias("train"), "labels", "text").fillna(False, ["train"])
     grams = t.inner_ngrams(F.col("text"), 3, 3)
-    vectors = materialize(mo.ngram_features(aa, aa.where("split = 'AA_val'"), "row_id", "text", grams, 200, 0.1), "vectors")
+    vectors = materialize(mo.ngram_features(aa, aa.where("train"), "row_id", "text", grams, 200, 0.1), "vectors")
 
-    def pairs(split):
-        own = c.dedup_per_author(c.canonical(aa.where(F.col("split") == split), "labels", "row_id", "text"))
+    def pairs(train):
+        own = c.dedup_per_author(c.canonical(aa.where(F.col("train") == train), "labels", "row_id", "text"))
         labels = c.relabel_first_seen(own)
-        return materialize(c.positive_pairs(own).unionByName(c.negative_pairs(own, labels)), f"pairs_{split}")
+        return materialize(c.positive_pairs(own).unionByName(c.negative_pairs(own, labels)), f"pairs_{train}")
 
-    train, test = (materialize(mo.difference_features(pairs(x), vectors.withColumnRenamed("row_id", "seq"), "seq", "seq0", "seq1"), f"gaps_{x}") for x in ("AA_val", "AA_test"))
+    train, test = (materialize(mo.difference_features(pairs(x), vectors.withColumnRenamed("row_id", "seq"), "seq", "seq0", "seq1"), f"gaps_{x}") for x in (True, False))
     return mo.verification_scores(mo.verification_model(train), test, ["seq0", "seq1", "same"])

@@ -317,6 +317,21 @@ def test_stream_scores(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(out)).collect())) == [(1, 2), (2, 0)]
 
 
+def test_stream_posts(spark, tmp_path):
+    from stilus.streaming.scoring import stream_daily_words, stream_unique_posts
+
+    src = str(tmp_path / "posts")
+    days = ["2020-01-01 10:00:00", "2020-01-02 09:00:00", "2020-01-02 10:00:00", "2020-06-01 00:00:00", "2020-12-01 00:00:00"]
+    for i, (post, day) in enumerate(zip((1, 2, 1, 3, 4), days)):
+        row = spark.sql(f"SELECT {post}L AS post_id, 1 AS author_id, 'x' AS post_date, 'two words' AS text, TIMESTAMP_NTZ '{day}' AS loaded_at")
+        row.coalesce(1).write.mode("append").parquet(src)
+    stream_unique_posts(spark, src, str(tmp_path / "once"), str(tmp_path / "c1"), 1).awaitTermination(120)
+    assert sorted(r["post_id"] for r in spark.read.parquet(str(tmp_path / "once")).collect()) == [1, 2, 3, 4]
+    stream_daily_words(spark, src, str(tmp_path / "days"), str(tmp_path / "c2"), 1).awaitTermination(120)
+    got = {str(r["day"])[:10]: (r["n_posts"], r["n_words"]) for r in spark.read.parquet(str(tmp_path / "days")).collect()}
+    assert got["2020-01-01"] == (1, 2) and got["2020-01-02"] == (2, 4) and "2020-12-01" not in got
+
+
 def test_model_files_and_sweep(spark, tmp_path):
     from stilus.operators import models as mo
 
