@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -100,9 +101,6 @@ _CUED = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, CUES))})\s+((?:{_W}[\w'
 _CUE_WORDS = frozenset(_w.casefold() for _w in "name called call signed truly sincerely regards appelle nom signé heiße heisse unterzeichnet llamo nombre firmado chiamo nome chamo heet naam".split())
 _PARTICLES = frozenset("van von der den de del della di da du le la zu ter ten bin ibn al el".split())
 _STARTS = frozenset(GIVEN_NAMES) | frozenset(TITLES) | {"m"}
-#: Starts that are common words too count in these forms only.
-_ODD_STARTS = ("M.", "m.", "Ella", "ELLA")
-_PLAIN_STARTS = _STARTS - {"m", "ella"}
 _LETTERS = re.compile(rf"{_W}+")
 
 _COMPOUND = re.compile(rf"{_W}{{3,}}(?:str(?:aße|asse|\.)|weg|gasse|platz|allee|ufer|damm|ring|steig|pfad|chaussee)\s+\d", re.I)
@@ -224,6 +222,20 @@ def undisguise(text: str) -> Traced:
     return t
 
 
+@lru_cache(4096)
+def _start_of(starts: frozenset[str]) -> re.Pattern:
+    return re.compile(rf"(?<![\w@.+-])(?:{'|'.join(sorted(starts, key=len, reverse=True))})(?!{_W})", re.I)
+
+
+def _names(text: str, starts: frozenset[str]) -> Iterator[re.Match]:
+    """The matches of NAME in a text, tried only where one of the starts that it has stands."""
+    at = 0
+    for w in _start_of(starts).finditer(text):
+        if w.start() >= at and (m := NAME.match(text, w.start())):
+            at = m.end()
+            yield m
+
+
 def _is_name(m: re.Match) -> bool:
     surname, whole = m.group(1), m.group(0)
     last = re.split(r"[\s]", surname)[-1]
@@ -279,7 +291,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in EMAIL.finditer(s):
             claim(*m.span(), "email")
     if _DIGIT.search(s):
-        if not _STREETS.isdisjoint(t.words) or _SUFFIX.search(s):
+        if not _STREETS.isdisjoint(t.words) or _SUFFIX.search(s):  # what every address has
             for m in ADDRESS.finditer(s):
                 if _is_address(m):
                     claim(*m.span(), "street_address")
@@ -289,8 +301,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
             claim(*m.span(1), "id_number")
         for m in PHONE.finditer(s):
             claim(*m.span(), "phone")
-    if not _PLAIN_STARTS.isdisjoint(t.words) or any(w in s for w in _ODD_STARTS):
-        for m in NAME.finditer(s):
+    if starts := _STARTS.intersection(t.words):
+        for m in _names(s, starts):
             if _is_name(m):
                 claim(*m.span(), "person_name")
     if not _CUE_WORDS.isdisjoint(t.words):
