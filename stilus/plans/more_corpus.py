@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stilus.operators import corpus as c
 from stilus.operators import finalize as z
 from stilus.operators import pairs as p
-from stilus.plans.corpus import _LABELS, _RANK, _UNI, AA, DEDUP
+from stilus.plans.corpus import _LABELS, _NEG, _POS, _RANK, _UNI, AA, DEDUP
 from stilus.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -301,12 +301,15 @@ def finalize_pair_statistics(s, d):
     return z.summary({}, {k: z.sampled_pairs(_aa(s, d, _SETS[k])) for k in _SETS})
 
 
-@query()
+_PAIRS = f"(SELECT * FROM ({_POS}) UNION ALL SELECT * FROM ({_NEG}))"
+
+
+@query(f"SELECT list_sort(list(DISTINCT same)) = [0, 1] AS ok FROM {_PAIRS}")
 def quality_av_labels(s, d):
     return z.label_values(z.sampled_pairs(_aa(s, d)))
 
 
-@query()
+@query(f"WITH p AS (SELECT DISTINCT unnest([seq0, seq1]) AS seq FROM {_PAIRS}), u AS (SELECT md5(text) AS h FROM ({AA}) WHERE seq IN (SELECT seq FROM p)) SELECT DISTINCT md5(text) AS text_md5, 'aa' AS side FROM ({AA}) WHERE md5(text) NOT IN (SELECT h FROM u)")
 def quality_same_texts(s, d):
     """Texts that the pairs sampled from them lack: those of authors with one text that no other text
     drew."""
