@@ -258,7 +258,12 @@ def av_pairs_passes(s, d):
     return p.passes_of_pairs(aa, c.relabel_first_seen(aa))
 
 
-@query()
+_CLEAN = f"SELECT author, seq, replace(text, chr(0), '') AS text FROM ({AA}) WHERE length(text) > 50"
+_ONCE = f"(SELECT * FROM ({_POS.replace(AA, _CLEAN)}) UNION ALL SELECT * FROM ({_NEG.replace(AA, _CLEAN)}))"
+_TWICE = _ONCE.replace("'0:'", "'100:'").replace("'1:'", "'101:'").replace("'2:'", "'102:'")
+
+
+@query(f"WITH a AS {_ONCE} SELECT * FROM a UNION ALL SELECT * FROM (SELECT DISTINCT * FROM {_TWICE} EXCEPT SELECT * FROM a)")
 def av_training_pairs(s, d):
     return p.training_pairs(_aa(s, d))
 
@@ -295,7 +300,15 @@ def finalize_cross_statistics(s, d):
     return z.summary({"train": _aa(s, d, "split = 'train'"), "aa_cross_topic": _aa(s, d, "split = 'cross_topic_test'")}, {})
 
 
-@query()
+def _pair_statistics_sql():
+    out = []
+    for k, w in _SETS.items():
+        for name, pairs in (("positive", _POS), ("negative", _NEG)):
+            out.append(f"SELECT '{k} number {name} pairs' AS metric, count(*)::DOUBLE AS value FROM ({pairs.replace(AA, _sql(w))})")
+    return " UNION ALL ".join(out)
+
+
+@query(_pair_statistics_sql())
 def finalize_pair_statistics(s, d):
     """Pairs sampled from each set, by label."""
     return z.summary({}, {k: z.sampled_pairs(_aa(s, d, _SETS[k])) for k in _SETS})

@@ -12,7 +12,7 @@ from stilus.operators import models as mo
 from stilus.operators import pairs as p
 from stilus.operators import ppm
 from stilus.operators import scoring as m
-from stilus.plans.features import _COS, _D, _L, _PAIR, _neighbours, _scored
+from stilus.plans.features import _COS, _D, _L, _PAIR, _PPM_5, _neighbours, _scored
 from stilus.session import materialize, table
 
 QUERIES, ORACLE = {}, {}
@@ -223,11 +223,11 @@ def ppm_attribution(s, d):
     return ppm.attribute(materialize(_ppm(s, d), "ppm"), "row_id", "labels", "bits")
 
 
-@query()
+@query("SELECT labels AS c, k, count(*) AS n_entries, CAST(sum(n) AS BIGINT) AS n FROM (SELECT labels, k, ctx, ch, count(*) AS n FROM (" + _PPM_5.format(keys="labels", src="SELECT labels, text FROM aa_texts WHERE text IS NOT NULL AND labels IS NOT NULL AND split = 'train'") + ") GROUP BY labels, k, ctx, ch) GROUP BY labels, k")
 def ppm_author_models(s, d):
     """Entries of each author's model by context length."""
     aa = table(s, d, "aa_texts").where("split = 'train'")
-    return ppm.model_counts(aa, "labels", "text").groupBy("c", "k").agg(F.count("*").alias("n_entries"), F.sum("n").alias("n"))
+    return ppm.model_counts(aa, "labels", "text").groupBy("c", F.col("k").cast("int").alias("k")).agg(F.count("*").alias("n_entries"), F.sum("n").alias("n"))
 
 
 def _ppm_pairs(s, d, where="true"):
