@@ -246,7 +246,8 @@ def positive_pairs(aa: DataFrame, seed: int = 0) -> DataFrame:
 def negative_pairs(aa: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
     """(seq0, seq1, same = 0): each text of an author with several with a text of another author, both
     drawn by hash; an equi-join on (author number, rank), never a cross join. labels: dense ids."""
-    r = ranked(aa.select("author", "seq"), "author", "seq", seed).join(labels, "author")
+    # narrow, and read three times
+    r = materialize(ranked(aa.select("author", "seq"), "author", "seq", seed).join(labels, "author").select("new_id", "seq", "rank", "n"), "ranked")
     sizes = r.groupBy("new_id").agg(F.max("n").alias("size"))
     n_authors = labels.count()
     if n_authors < 2:
