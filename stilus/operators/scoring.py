@@ -6,32 +6,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-# -- prediction by partial matching ------------------------------------------------------------
-def contexts(df: DataFrame, keys: list[str], text: str, order: int) -> DataFrame:
-    """keys, pos, k, ctx, ch: each character under each of its contexts of 0 to `order` characters."""
-    s = F.filter(F.split(F.col(text), ""), lambda c: c != "")
-    size = F.size(s)
-    ends = F.transform(s, lambda ch, i: F.struct(i.alias("pos"), F.lit(0).alias("k"), F.lit("").alias("ctx"), ch.alias("ch")))
-    all_ = ends
-    for k in range(1, order + 1):
-        # contexts of k characters pair with the characters k places on: shifted slices, no per-character copies
-        rest = F.greatest(size - k, F.lit(0))
-        ctx = F.slice(s, 1, rest)
-        for j in range(1, k):
-            ctx = F.zip_with(ctx, F.slice(s, j + 1, rest), lambda x, y: F.concat(x, y))
-        pairs = F.zip_with(ctx, F.slice(s, k + 1, rest), lambda c, ch: F.struct(c.alias("c"), ch.alias("h")))
-        all_ = F.concat(all_, F.transform(pairs, _placed(k)))
-    return df.select(*keys, F.explode(all_).alias("e")).select(*keys, "e.*")
-
-
-def _placed(k: int):
-    return lambda e, i: F.struct((i + k).alias("pos"), F.lit(k).alias("k"), e["c"].alias("ctx"), e["h"].alias("ch"))
+from stilus.operators.windows import context_counts
 
 
+# -- prediction by partial matching ------------------------------------------------------------
 def ppm_counts(df: DataFrame, author: str, text: str, order: int = 5) -> DataFrame:
     """(author, k, ctx, ch, n): the model of each author as a flat table of counts."""
-    return contexts(df, [author], text, order).groupBy(author, "k", "ctx", "ch").agg(F.count(F.lit(1)).alias("n"))
+    return context_counts(df, author, text, order)
 
 
 def merge_models(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

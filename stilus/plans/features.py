@@ -117,7 +117,7 @@ _PPM_5 = _PPM.replace("least(p - 1, 3)", "least(p - 1, 5)")
 
 
 def _ppm_model(s, d, order):
-    return m.ppm_counts(table(s, d, "aa_texts").where("text IS NOT NULL").select("source", "text"), "source", "text", order)
+    return m.ppm_counts(spread(table(s, d, "aa_texts").where("text IS NOT NULL").select("source", "text")), "source", "text", order)
 
 
 def _ppm_counts(s, d, order):
