@@ -8,7 +8,7 @@ from stilus.functions import text as t
 from stilus.operators import evaluation as ev
 from stilus.operators import scoring as m
 from stilus.operators.corpus import uniform
-from stilus.session import spread, table
+from stilus.session import materialize, spread, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -135,7 +135,7 @@ def ppm_counts_order5(s, d):
 
 
 def _ppm_negate(s, d, order):
-    model, keys = _ppm_model(s, d, order), ["k", "ctx", "ch"]
+    model, keys = materialize(_ppm_model(s, d, order), "model"), ["k", "ctx", "ch"]
     whole = model.groupBy(*keys).agg(F.sum("n").alias("n"))
     one = model.where("source = 'imdb62'").select(*keys, "n")
     return m.subtract_model(whole, one, keys).select("k", F.md5("ctx").alias("ctx_md5"), F.md5("ch").alias("ch_md5"), "n")

@@ -38,3 +38,10 @@ def test_counts_are_added_up_before_contexts_are_made(spark):
     df = spark.createDataFrame([("A", "abab")], "author string, text string")
     plan = m.ppm_counts(df, "author", "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange hashpartitioning", plan.index("Generate")) < plan.index("MapInPandas")
+
+
+def test_negated_model_is_counted_once(spark):
+    from stilus.plans import features
+
+    plan = features.ppm_negate_order5(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "FileScan" in plan  # counted before and read twice
