@@ -45,3 +45,23 @@ def test_negated_model_is_counted_once(spark):
 
     plan = features.ppm_negate_order5(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "FileScan" in plan  # counted before and read twice
+
+
+@pytest.mark.parametrize("held", [w.HELD, 100])
+def test_context_sizes_against_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(w, "HELD", held)
+    rows = [(a and ord(a), t) for a, t in _rows(4)]
+    df = spark.createDataFrame(rows, "author int, text string").repartition(3)
+    want = {}
+    for (a, k, _, _), n in _brute(rows, 5).items():
+        if a is not None:
+            e, total = want.get((a, k), (0, 0))
+            want[a, k] = e + 1, total + n
+    assert {(r["c"], r["k"]): (r["n_entries"], r["n"]) for r in w.context_sizes(df, "author", "text", 5).collect()} == want
+
+
+def test_texts_and_not_entries_are_shuffled_for_author_models(spark):
+    from stilus.plans import more_eval
+
+    plan = more_eval.ppm_author_models(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("MapInPandas") < plan.index("Exchange")
