@@ -65,3 +65,38 @@ def test_texts_and_not_entries_are_shuffled_for_author_models(spark):
 
     plan = more_eval.ppm_author_models(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("MapInPandas") < plan.index("Exchange")
+
+
+def test_pair_bits_against_brute_force():
+    from stilus.operators import ppm
+    from test_core import _bits
+
+    g = random.Random(1)
+    for alphabet in ("ab", "abcé 😀d\0", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))):
+        text = lambda: "".join(g.choice(alphabet) for _ in range(g.randrange(0, 90)))  # noqa: B023, E731
+        x = [text() for _ in range(150)]
+        y = [t[:40] + text() if i < 50 else text() for i, t in enumerate(x)]
+        for a, b, d1, d2 in zip(x, y, *ppm.pair_bits(x, y)):
+            if not a or not b:
+                assert d1 != d1 and d2 != d2
+            else:
+                assert abs(d1 - _bits([a], b)) < 1e-9 and abs(d2 - _bits([b], a)) < 1e-9
+
+
+def test_a_pair_costs_no_sort_of_all_its_contexts():
+    # each pair took about seven sorts or searches of all contexts of both texts
+    import time
+
+    from stilus.operators import ppm
+
+    g = random.Random(2)
+    word = ["".join(g.choice("abcdefghijkl") for _ in range(g.randrange(2, 9))) for _ in range(3000)]
+    x, y = ([" ".join(g.choice(word) for _ in range(70)) for _ in range(500)] for _ in range(2))
+    began = time.process_time()
+    ppm.pair_bits(x, y)
+    cost = time.process_time() - began
+    began = time.process_time()
+    for texts in (x, y):
+        for h in ppm.positions(texts)[2:4]:
+            h.argsort()
+    assert cost < 2 * (time.process_time() - began)
