@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stilus.functions.text import array_counts, ngrams_between
+from stilus.session import materialize
 
 # The part-of-speech tags that have statistics, in their order.
 POS_TAGS = ("CC", "CD", "DT", "EX", "FW", "IN", "JJ", "JJR", "JJS", "LS", "MD", "NN", "NNS", "NNP", "NNPS", "PDT", "POS", "PRP", "PRP$", "RB", "RBR", "RBS", "RP", "SYM", "TO", "UH", "VB", "VBD", "VBG", "VBN", "VBP", "VBZ", "WDT", "WP", "WP$", "WRB")
@@ -95,9 +96,9 @@ def nested_chars(tokens: Column) -> Column:
 
 
 # -- vectors ------------------------------------------------------------------------------------
-def dense_vectors(weights: DataFrame, key: str, ids: DataFrame, width: int) -> DataFrame:
+def dense_vectors(weights: DataFrame, key: str, ids: DataFrame, width: int, unit: bool = False) -> DataFrame:
     """(key, features ARRAY<DOUBLE>): the weights (key, gram, weight) laid out by the ids (gram, id) of
-    at most `width` grams; records without any of them have no row."""
+    at most `width` grams, if `unit` scaled to length 1; records without any of them have no row."""
     rows = weights.join(ids.select("gram", F.col("id").alias("__i")), "gram").groupBy(key).agg(F.collect_list(F.struct(F.col("__i").alias("id"), "weight")).alias("s"))  # at most width entries
 
     def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,6 +109,8 @@ def dense_vectors(weights: DataFrame, key: str, ids: DataFrame, width: int) -> D
             for i, s in enumerate(batch["s"]):
                 for e in s:
                     out[i, e["id"]] = e["weight"]
+            if unit:
+                out /= np.sqrt((out * out).sum(axis=1))[:, None]
             yield pd.DataFrame({key: batch[key], "features": list(out)})
 
     return rows.mapInPandas(lay_out, f"`{key}` {dict(weights.dtypes)[key]}, features array<double>")
@@ -116,8 +119,24 @@ def dense_vectors(weights: DataFrame, key: str, ids: DataFrame, width: int) -> D
 def column_scales(vectors: DataFrame, features: str) -> DataFrame:
     """(i, max_abs, mean, std): per place of the vectors its largest absolute value, mean and population
     standard deviation: one row per place."""
-    each = vectors.select(F.posexplode(features).alias("i", "x"))
-    return each.groupBy("i").agg(F.max(F.abs("x")).alias("max_abs"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for batch in batches:
+            rows = [v for v in batch["v"] if v is not None]
+            for width in {len(v) for v in rows}:
+                x = np.array([v for v in rows if len(v) == width], float)
+                mean = x[0] + (x - x[0]).mean(axis=0)
+                yield pd.DataFrame({"i": np.arange(width), "n": len(x), "low": x.min(axis=0), "high": x.max(axis=0), "m": mean, "s": ((x - mean) ** 2).sum(axis=0)})
+
+    # a batch's figures by place, not a row for each place of each vector
+    each = materialize(vectors.select(F.col(features).alias("v")).mapInPandas(partial, "i int, n long, low double, high double, m double, s double"), "scales")
+    n, m, mean = F.col("n"), F.col("m"), F.col("mean")
+    whole = each.groupBy("i").agg(F.greatest(F.abs(F.min("low")), F.abs(F.max("high"))).alias("max_abs"), (F.sum(n * m) / F.sum(n)).alias("mean"))
+    # a place that never changes has no spread, not one of rounding
+    std = F.when(F.min("low") == F.max("high"), 0.0).otherwise(F.sqrt(F.sum(F.col("s") + n * (m - mean) * (m - mean)) / F.sum(n)))
+    return each.join(F.broadcast(whole), "i").groupBy("i").agg(F.first("max_abs").alias("max_abs"), F.first("mean").alias("mean"), std.alias("std"))
 
 
 def _arrays(scales: DataFrame, *columns: str) -> list[Column]:

@@ -100,3 +100,21 @@ def test_a_pair_costs_no_sort_of_all_its_contexts():
         for h in ppm.positions(texts)[2:4]:
             h.argsort()
     assert cost < 2 * (time.process_time() - began)
+
+
+def test_scales_are_added_up_by_batch(spark):
+    import statistics
+
+    from stilus.functions import features as f
+
+    g = random.Random(5)
+    rows = [(i, [0.1, g.random(), -3.0 * g.random()]) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, v array<double>").repartition(7)
+    scales = f.column_scales(df, "v")
+    got = {r["i"]: r for r in scales.collect()}
+    for k in range(3):
+        x = [v[k] for _, v in rows]
+        assert abs(got[k]["mean"] - statistics.fmean(x)) < 1e-12 and abs(got[k]["std"] - statistics.pstdev(x)) < 1e-9 and got[k]["max_abs"] == max(map(abs, x))
+    assert got[0]["std"] == 0.0
+    # a row for each place of each vector was made before
+    assert "Generate" not in scales._jdf.queryExecution().executedPlan().toString()
