@@ -118,3 +118,16 @@ def test_scales_are_added_up_by_batch(spark):
     assert got[0]["std"] == 0.0
     # a row for each place of each vector was made before
     assert "Generate" not in scales._jdf.queryExecution().executedPlan().toString()
+
+
+def test_length_of_a_vector_is_taken_once(spark):
+    from pyspark.sql import functions as F
+
+    from stilus.functions import text as t
+    from stilus.operators import models as mo
+
+    df = spark.createDataFrame([(1, "ab cd"), (2, "ab ef")], "k int, text string")
+    out = mo.ngram_features(df, df, "k", "text", t.words(F.col("text")), 10, 0.1)
+    assert all(abs(sum(x * x for x in r["features"]) - 1) < 1e-12 for r in out.collect())
+    # the optimiser had put the sum of squares inside the division of each of its elements
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
