@@ -38,8 +38,11 @@ MIN_WORDS = 10
 #: Slots of the table of run counts, one byte each where it is sent to every task: a fixed size.
 #: Runs that share a slot share a place in the order, which costs time and loses nothing.
 SLOTS, BLOCK = 1 << 22, 1 << 16
-#: Entries of the inverted lists in one group of rows, and the count from which a run's list is split.
-POSTINGS, HOT = 4_000_000, 1 << 17
+#: Bytes of the inverted lists in one group of rows, and the count from which a run's list is split on
+#: either side. A task's arrays and their sorts take about five times the bytes.
+GROUP_BYTES, HOT = 80_000_000, 1 << 17
+#: Bytes of an entry, and of its text's record where it stands; entries of a text.
+ENTRY, RECORD, PER_TEXT = 8, 56, 24
 #: Bits of a sketch, in words of 64.
 SKETCH = 320
 #: Class ids are sent to every task up to this many; beyond it they are joined by shuffle.
@@ -331,28 +334,68 @@ def classes(records: DataFrame, key: str, text: str, is_left, min_words: int = M
     return both.where("block < 0").select("id", "is_left", "class", "words"), both.where("block >= 0").select("block", "blob")
 
 
-def _places(counts: DataFrame) -> tuple[np.ndarray, int]:
-    """(per slot the place of its runs in the order, all runs): a byte, growing with the count; 0 for
-    runs found on one side only."""
+def _step(n: np.ndarray) -> np.ndarray:
+    """A byte that grows with the count; 0 for none."""
+    return np.where(n > 0, np.minimum(1 + 8 * np.log2(np.maximum(n, 1)), 255), 0).astype(np.uint8)
+
+
+def _places(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(per slot the place of its runs in the order, per side and slot the parts their lists are cut into,
+    all runs). A place is a byte, growing with the count; 0 for runs found on one side only. A slot that
+    isn't hot on a side is one part there."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((2, BLOCK), np.int64)
         for b in group["blob"]:
             total += np.frombuffer(zlib.decompress(b), np.uint16).reshape(2, BLOCK)
-        place = np.where(total.min(axis=0) > 0, np.minimum(1 + 8 * np.log2(np.maximum(total.sum(axis=0), 1)), 255), 0)
-        return pd.DataFrame({"block": group["block"].iloc[:1], "place": [zlib.compress(place.astype(np.uint8).tobytes(), 1)], "n": [int(total.sum())]})
+        place = np.where(total.min(axis=0) > 0, _step(total.sum(axis=0)), 0)
+        parts = np.where(total.min(axis=0) > 0, -(-total // hot), 1).clip(1, 0xFFFF)
+        packed = [zlib.compress(x.tobytes(), 1) for x in (place.astype(np.uint8), parts.astype(np.uint16))]
+        return pd.DataFrame({"block": group["block"].iloc[:1], "place": packed[:1], "parts": packed[1:], "n": [int(total.sum())]})
 
-    rows = counts.groupBy("block").applyInPandas(add, "block int, place binary, n long").collect()
+    hot = HOT
+    rows = counts.groupBy("block").applyInPandas(add, "block int, place binary, parts binary, n long").collect()
     out = np.zeros((SLOTS // BLOCK, BLOCK), np.uint8)
+    parts = np.ones((2, SLOTS // BLOCK, BLOCK), np.uint16)
     for r in rows:
         out[r["block"]] = np.frombuffer(zlib.decompress(r["place"]), np.uint8)
-    return out.ravel(), sum(r["n"] for r in rows)
+        parts[:, r["block"]] = np.frombuffer(zlib.decompress(r["parts"]), np.uint16).reshape(2, BLOCK)
+    return out.ravel(), parts.reshape(2, SLOTS), sum(r["n"] for r in rows)
+
+
+def dealt(text: np.ndarray, run: np.ndarray, own: np.ndarray, left: np.ndarray, parts: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, group) of every entry in each group that it goes to. text, run: of the entries; own, left: of
+    the texts; parts: per entry the parts of its run's list on the (right, left) side.
+
+    The lists of a hot run make a grid of left parts by right parts: a left entry goes to its own part
+    beside every right part and a right entry likewise, so that each pair of entries meets in one cell."""
+    base = ((run >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+    right_parts, left_parts = parts.astype(np.int64)
+    one = left[text]
+    again = np.where(one, right_parts, left_parts)
+    entry = np.repeat(np.arange(len(text)), again)
+    other = np.arange(len(entry)) - np.repeat(np.cumsum(again) - again, again)
+    one, wide, mine = one[entry], right_parts[entry], own[text[entry]]
+    cell = np.where(one, mine % left_parts[entry] * wide + other, other * wide + mine % wide)
+    group = (base[entry] + cell) % groups
+    if len(entry) and int((right_parts * left_parts).max()) > groups:  # cells share groups: each entry once
+        entry, group = np.divmod(np.unique(entry * groups + group), groups)
+    return entry, group
 
 
 def _group_count(spark, runs: int) -> int:
     """Groups of the inverted lists: as many as their size asks for, of which about six runs in ten
-    make up; of a small input as many as run side by side."""
-    return max(1, -(-runs * 6 // 10 // POSTINGS), min(spark.sparkContext.defaultParallelism, runs // 250_000))
+    make up; of a small input as many as run side by side.
+
+    A group holds a record of each text that has an entry in it: with a few groups a text's entries share
+    one, with many each entry has its own."""
+    entries, groups = runs * 6 // 10, max(1, min(spark.sparkContext.defaultParallelism, runs // 250_000))
+    while True:
+        records = groups * (1 - (1 - 1 / groups) ** PER_TEXT) / PER_TEXT
+        need = int(-(-entries * (ENTRY + RECORD * records) // GROUP_BYTES))
+        if need <= groups:
+            return groups
+        groups = need
 
 
 def _labels(spark, groups: int) -> np.ndarray:
@@ -371,15 +414,16 @@ def _labels(spark, groups: int) -> np.ndarray:
 def candidates(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """(left, right): pairs of different classes of the two sides that no bound excludes."""
     spark = rows.sparkSession
-    place, total = _places(counts)
+    place, parts, total = _places(counts)
     groups = _group_count(spark, total)
     labels = _labels(spark, groups)
-    sent = spark.sparkContext.broadcast(place)
-    # parts a hot run's list is cut into, by its place in the order
-    parts = np.minimum(groups, np.ceil(2.0 ** ((np.arange(256) - 1) / 8) / HOT)).astype(np.int64).clip(1)
+    # few slots are hot: their numbers and parts, behind one that none has
+    hot = np.flatnonzero(parts.max(axis=0) > 1)
+    sent = spark.sparkContext.broadcast((place, np.append(hot, SLOTS), np.concatenate([parts[:, hot], [[1], [1]]], axis=1)))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, seen = _Codes(), set()
+        place, hot, parts = sent.value
         for batch in batches:
             fresh = []
             for c in zip(batch["class"].tolist(), batch["is_left"].tolist()):
@@ -390,18 +434,13 @@ def candidates(rows: DataFrame, counts: DataFrame) -> DataFrame:
             for lo in range(0, len(batch), _ROWS):
                 part = batch.iloc[lo : lo + _ROWS]
                 runs = Runs(part["words"].tolist(), codes)
-                pick = runs.indexed(sent.value)
+                pick = runs.indexed(place)
                 own, left = part["class"].to_numpy(np.int64), part["is_left"].to_numpy(bool)
                 text, run, at = runs.row[pick], runs.run[pick], runs.at[pick]
-                split = parts[sent.value[(run >> np.uint64(42)).astype(np.int64)]]
-                group = ((run >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
-                # a hot list: each left text in one part, the right texts in all
-                one = left[text]
-                group = np.where(one & (split > 1), (group + own[text] % split) % groups, group)
-                again = np.where(one, 1, split)
-                shift = np.arange(int(again.sum())) - np.repeat(np.cumsum(again) - again, again)
-                text, run, at, group = (np.repeat(x, again) for x in (text, run, at, group))
-                group = (group + shift) % groups
+                slot = (run >> np.uint64(42)).astype(np.int64)
+                i = np.searchsorted(hot, slot)
+                entry, group = dealt(text, run, own, left, parts[:, np.where(hot[i] == slot, i, len(hot) - 1)], groups)
+                text, run, at = text[entry], run[entry], at[entry]
                 order = np.lexsort((text, group))
                 text, run, at, group = text[order], run[order].astype(np.uint32), at[order], group[order]
                 sketch = runs.sketches()

@@ -72,6 +72,45 @@ def test_near_copy_of_a_hot_text(spark):
     assert _pairs(spark, rows) == {(i, j) for i in copies for j in (3000, 3001)}
 
 
+def test_hot_lists_are_cut_on_both_sides(spark, monkeypatch):
+    """No part of a hot list holds all of either side, and every pair meets all the same."""
+    own, left = np.arange(2000), np.arange(2000) % 2 == 0
+    for groups in (50, 7):
+        entry, group = overlap.dealt(own, np.zeros(2000, np.uint64), own, left, np.tile([[4], [5]], (1, 2000)), groups)
+        cells = [{int(i) for i in entry[group == k]} for k in range(groups)]
+        assert sum(map(len, cells)) == len(entry)
+        met = np.zeros((2000, 2000), bool)
+        for c in cells:
+            met[np.ix_([i for i in c if left[i]], [i for i in c if not left[i]])] = True
+        assert met[np.ix_(left, ~left)].all()
+    entry, group = overlap.dealt(own, np.zeros(2000, np.uint64), own, left, np.tile([[4], [5]], (1, 2000)), 50)
+    assert np.bincount(group).max() <= 2 * (1000 / 4 + 1000 / 5)
+    monkeypatch.setattr(overlap, "HOT", 16)
+    monkeypatch.setattr(overlap, "GROUP_BYTES", 20_000)
+    g = random.Random(8)
+    base = [g.choice([f"w{i}" for i in range(60)]) for _ in range(25)]
+    rows = [(i, " ".join(w if g.random() > 0.1 else g.choice(base) for w in base), "train" if i % 2 else "AA_val") for i in range(300)]
+    words = {i: t.split() for i, t, _ in rows}
+    want = {(min(i, j), max(i, j)) for i in words for j in words if i % 2 and not j % 2 and _lcs(words[i], words[j]) >= 20}
+    assert _pairs(spark, rows) == want and len(want) > 1000
+
+
+def test_a_group_of_lists_fits_a_task(spark):
+    """A group of the lists of about 6 GB of texts, each entry of another text, as with many groups."""
+    import tracemalloc
+
+    runs, g = 1_900_000_000, np.random.default_rng(4)
+    n = runs * 6 // 10 // overlap._group_count(spark, runs)
+    p = overlap.Postings(np.arange(n), g.integers(15, 40, n).astype(np.int32), g.random(n) < 0.7, g.integers(0, 1 << 62, (n, overlap.SKETCH // 64), np.uint64), g.integers(0, n // 3, n).astype(np.uint32), np.arange(n), g.integers(0, 30, n).astype(np.int32))
+    blobs = [p.to_bytes()]
+    del p
+    tracemalloc.start()
+    overlap.meetings(overlap.Postings.of(blobs).one_per_class())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak + 2 * len(blobs[0]) < 450e6  # two tasks of an executor have 1,200 MB beside its heap
+
+
 @pytest.mark.parametrize("every", [5, 6, 7])
 def test_evenly_spread_edits(spark, every):
     g = random.Random(every)
