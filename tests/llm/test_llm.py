@@ -332,6 +332,46 @@ def test_marked_documents_teach_their_sentence():
     assert q[0] > 0.5 > q[1]
 
 
+def test_every_marked_document_is_learned_from(spark, monkeypatch):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    marks = spark.range(9000).selectExpr("id AS doc_id", "CAST(id % 4 = 0 AS INT) AS toxic")
+    seen = []
+    monkeypatch.setattr(abuse, "train", lambda texts, marks: seen.append((texts, marks)))
+    monkeypatch.setattr(abuse, "thresholds", lambda net, texts, marks, langs: seen.append((texts, marks)))
+    abuse.fit(docs.union(docs), marks.union(marks))
+    assert {t: m for texts, y in seen for t, m in zip(texts, y)} == {f"text {i}": int(i % 4 == 0) for i in range(9000)}
+    assert sum(len(t) for t, _ in seen) == 9000
+
+
+def test_every_clean_sentence_is_learned_from(monkeypatch):
+    """Also where there are more than a few thousand: each sentence's own word is taken in."""
+    own = ["".join(chr(97 + int(c)) for c in f"{i:05d}") + "x" for i in range(12000)]
+    texts = [f"{w} word stands here" for w in own]
+    taken = set()
+    step = abuse.Classifier.step
+    monkeypatch.setattr(abuse.Sentences, "several", lambda s: s.names)
+    monkeypatch.setattr(abuse.Classifier, "step", lambda self, ids, y, w: taken.update(ids.ravel().tolist()) or step(self, ids, y, w))
+    net = abuse.train(texts, [0] * len(texts))
+    ids_of = abuse.Hasher(net.known)
+    assert all(ids_of[w] in taken for w in own)
+
+
+def test_telling_runs_against_counts():
+    g = random.Random(6)
+    texts = [". ".join(" ".join(g.choice("abcdefghij") for _ in range(g.randrange(1, 7))) for _ in range(4)) for _ in range(60)]
+    marks = [int(i % 3 == 0) for i in range(60)]
+    all = abuse.Sentences(texts)
+    told = abuse.Telling(all, marks)
+    runs = lambda s: {" ".join(s[i : i + k]) for k in (1, 2, 3) for i in range(len(s) - k + 1)}
+    docs = [set().union(*map(runs, abuse.sentences(t))) for t in texts]
+    count = lambda r, m: sum(r in d for d, y in zip(docs, marks) if y == m)
+    for j in range(len(all.doc)):
+        own = marks[all.doc[j]]
+        held = sorted(((np.log((count(r, 1) + 1 - own) / (count(r, 0) + own)), " " not in r) for r in runs(all.text(j)) if count(r, 1) >= 1 + own), reverse=True)
+        want = -9.0 if len(held) < 3 else sum(v for v, _ in held[:3]) / 6 + next((v for v, one in held if one), -9.0) / 2
+        assert abs(told.of(j, j + 1, own)[0] - want) < 1e-9 or (np.isinf(want) and told.of(j, j + 1, own)[0] == want)
+
+
 def test_long_sentences_are_scored_whole():
     net = abuse.train([], [])
     q = abuse.scores(net, ["word " * 5000 + "you filthy idiot", "word " * 5000, "**bold** words", ""], abuse.Hasher(net.known))
