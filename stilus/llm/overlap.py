@@ -49,6 +49,8 @@ SKETCH = 320
 MAX_SENT = 1_000_000
 #: Ids of a class expanded by one row of work at most.
 EXPAND = 1000
+#: Rows for each distinct text from which copies are told by digest before anything else is done.
+REPEATED = 2
 _ROWS, _CELLS = 1 << 13, 1 << 20
 
 
@@ -480,6 +482,13 @@ def near_pairs(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return both.select("left", "right", "a", "b").mapInPandas(verify, "left long, right long")
 
 
+def _repeated(records: DataFrame, text: str) -> bool:
+    """Whether the texts as stored recur so often that a shuffle of them pays: it costs about the input on
+    disk, the inverted lists twice that for texts that don't recur. Either way gives the same pairs."""
+    n = records.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(text))).first()
+    return n[0] >= REPEATED * max(1, n[1])
+
+
 def cross_split_classes(records: DataFrame, key: str, text: str, is_left) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, is_left, class) of every record long enough, and links
     (left, right) between classes of the two sides, a class linked to itself where it has
@@ -488,8 +497,17 @@ def cross_split_classes(records: DataFrame, key: str, text: str, is_left) -> tup
     Null texts and texts under MIN_WORDS words have no row; a null split counts as the right side;
     ties and repeated rows fall into one class; an empty table gives two empty results.
     """
-    rows, counts = classes(records, key, text, is_left)
-    members = rows.select("id", "is_left", "class").distinct()
+    if not _repeated(records, text):
+        rows, counts = classes(records, key, text, is_left)
+        members = rows.select("id", "is_left", "class").distinct()
+    else:
+        # each stored text once for each side is put into words, counted and indexed; the ids follow by digest
+        each = records.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.coalesce(is_left, F.lit(False)).alias("is_left"), F.unhex(F.md5(text)).alias("digest"), F.col(text).alias("text"))
+        once = each.groupBy("digest").agg(F.first("text").alias("text"), F.collect_set("is_left").alias("sides"))
+        once = materialize(once.select("digest", "text", F.explode("sides").alias("is_left")), "texts")
+        rows, counts = classes(once, "digest", "text", F.col("is_left"))
+        own = rows.select(F.col("id").alias("digest"), "is_left", "class")
+        members = materialize(each.drop("text").join(own, ["digest", "is_left"]).select("id", "is_left", "class").distinct(), "members")
     shared = rows.groupBy("class").agg(F.max("is_left").alias("l"), F.min("is_left").alias("r")).where("l AND NOT r")
     same = shared.select(F.col("class").alias("left"), F.col("class").alias("right"))
     return members, materialize(near_pairs(rows, counts).unionByName(same), "links")
